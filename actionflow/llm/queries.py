@@ -16,6 +16,12 @@ def op4_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from actionflow.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     from actionflow.llm.quality_rules import report
 
@@ -23,7 +29,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op4_ring_sharding, op10_quality_rules]
+    found = [op4_ring_sharding, op9_best_fit_packing, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
