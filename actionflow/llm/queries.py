@@ -10,6 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from actionflow.llm.quality_classifier import report
+
+    docs = table(spark, sf_dir, "documents").selectExpr("doc_id AS id", "text", "source AS host", "lang AS path")
+    labels = table(spark, sf_dir, "labels").selectExpr("doc_id AS id", "quality AS good")
+    return report(docs, labels).withColumnRenamed("id", "doc_id")
+
+
 def op4_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from actionflow.llm.sharding import shard_documents
 
@@ -29,7 +37,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op4_ring_sharding, op9_best_fit_packing, op10_quality_rules]
+    found = [op2_quality_classifier, op4_ring_sharding, op9_best_fit_packing, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
