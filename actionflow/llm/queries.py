@@ -24,6 +24,12 @@ def op4_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op8_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from actionflow.llm.near_duplicates import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), words=4)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from actionflow.llm.packing import pack
 
@@ -37,7 +43,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op2_quality_classifier, op4_ring_sharding, op9_best_fit_packing, op10_quality_rules]
+    found = [op2_quality_classifier, op4_ring_sharding, op8_minhash_near_duplicates, op9_best_fit_packing, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
