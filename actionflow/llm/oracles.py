@@ -43,4 +43,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
 """
 
-ORACLES = {"op10_quality_rules": OP10}
+OP7 = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+  top AS (SELECT d, max(page_id) AS m FROM p WHERE n >= 1000 GROUP BY d),
+  r AS (SELECT p.*, CASE WHEN page_id IS DISTINCT FROM m AND m IS NOT NULL THEN m END AS refers_to FROM p LEFT JOIN top USING (d))
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to,
+  CASE WHEN refers_to IS NULL THEN greatest(1, CAST(ceil(n / 262144.0) AS INT)) ELSE 1 END AS n_chunks
+FROM r
+"""
+
+ORACLES = {"op7_warc_chunks": OP7, "op10_quality_rules": OP10}

@@ -24,6 +24,12 @@ def op4_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from actionflow.llm.warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from actionflow.llm.near_duplicates import near_duplicates
 
@@ -43,7 +49,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op2_quality_classifier, op4_ring_sharding, op8_minhash_near_duplicates, op9_best_fit_packing, op10_quality_rules]
+    found = [op2_quality_classifier, op4_ring_sharding, op7_warc_chunks, op8_minhash_near_duplicates, op9_best_fit_packing, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
