@@ -24,6 +24,13 @@ def op4_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from actionflow.llm.html_extraction import extract
+
+    pages = extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))
+
+
 def op7_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     from actionflow.llm.warc import round_trip
 
@@ -49,7 +56,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op2_quality_classifier, op4_ring_sharding, op7_warc_chunks, op8_minhash_near_duplicates, op9_best_fit_packing, op10_quality_rules]
+    found = [op2_quality_classifier, op4_ring_sharding, op6_html_extraction, op7_warc_chunks, op8_minhash_near_duplicates, op9_best_fit_packing, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
