@@ -52,4 +52,30 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WH
 FROM r
 """
 
-ORACLES = {"op7_warc_chunks": OP7, "op10_quality_rules": OP10}
+
+
+def _op3() -> str:
+    """The known sentences and rules as values, the rest as SQL of its own."""
+    from actionflow.llm.license_scan import ANCHORS, LOWER, RULES, UPPER, known_sentences
+
+    known = ", ".join(f"('{s}', '{i}')" for s, i in known_sentences().items())
+    rules = ", ".join("('{}', '% {} %', {})".format(n, " % ".join(w), f"'% {u[0]} %'" if u else "NULL") for n, w, u in RULES)
+    anchors = " OR ".join(f"contains(translate(t, '{UPPER}', '{LOWER}'), '{a}')" for a in ANCHORS)
+    ids = lambda cut: f"""(
+  SELECT rid, string_agg(i, '  ' ORDER BY n) AS ids, count(*) AS many FROM (
+    SELECT rid, n, trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g')) AS s FROM (
+      SELECT rid, unnest(l) AS s, unnest(range(len(l))) AS n FROM (SELECT rid, string_split(regexp_replace({cut}, '([.!?])[ \\t\\r]+', '\\1' || chr(10), 'g'), chr(10)) AS l FROM d WHERE anchored)))
+  JOIN known USING (s) GROUP BY rid)"""
+    joined = "regexp_replace(regexp_replace(regexp_replace(t, ':[ \\t\\r]*\\n', ':. ', 'g'), '\\n[ \\t\\r]*\\n', '. ', 'g'), '[ \\t\\r]*\\n[^a-zA-Z0-9\\n]*', ' ', 'g')"
+    return f"""
+WITH known(s, i) AS (VALUES {known}), rules(licence, wanted, unwanted) AS (VALUES {rules}),
+d AS MATERIALIZED (SELECT row_number() OVER () AS rid, doc_id, t, {anchors} AS anchored FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)),
+a AS {ids("t")}, b AS {ids(joined)},
+c AS (SELECT d.rid, doc_id, CASE WHEN coalesce(a.many, 0) >= coalesce(b.many, 0) THEN coalesce(a.ids, '') ELSE b.ids END AS ids, greatest(coalesce(a.many, 0), coalesce(b.many, 0)) AS many
+  FROM d LEFT JOIN a USING (rid) LEFT JOIN b USING (rid)),
+m AS (SELECT rid, string_agg(DISTINCT licence, ' ' ORDER BY licence) AS licenses FROM c JOIN rules ON ' ' || ids || ' ' LIKE wanted AND NOT coalesce(' ' || ids || ' ' LIKE unwanted, false) GROUP BY rid)
+SELECT doc_id, CAST(many AS BIGINT) AS n_sentences, replace(ids, '  ', ' ') AS sentence_ids, coalesce(licenses, '') AS licenses FROM c LEFT JOIN m USING (rid)
+"""
+
+
+ORACLES = {"op3_license_scan": _op3(), "op7_warc_chunks": OP7, "op10_quality_rules": OP10}

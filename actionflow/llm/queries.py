@@ -18,6 +18,13 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(docs, labels).withColumnRenamed("id", "doc_id")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from actionflow.llm.license_scan import scan
+
+    found = scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("sentence_ids").cast("bigint").alias("n_sentences"), F.array_join("sentence_ids", " ").alias("sentence_ids"), F.array_join("licenses", " ").alias("licenses"))
+
+
 def op4_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from actionflow.llm.sharding import shard_documents
 
@@ -56,7 +63,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op2_quality_classifier, op4_ring_sharding, op6_html_extraction, op7_warc_chunks, op8_minhash_near_duplicates, op9_best_fit_packing, op10_quality_rules]
+    found = [op2_quality_classifier, op3_license_scan, op4_ring_sharding, op6_html_extraction, op7_warc_chunks, op8_minhash_near_duplicates, op9_best_fit_packing, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
