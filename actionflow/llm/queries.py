@@ -31,6 +31,12 @@ def op4_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from actionflow.llm.sentencepiece_codec import round_trip
+
+    return round_trip(table(spark, sf_dir, "documents"))
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     from actionflow.llm.html_extraction import extract
 
@@ -63,7 +69,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op2_quality_classifier, op3_license_scan, op4_ring_sharding, op6_html_extraction, op7_warc_chunks, op8_minhash_near_duplicates, op9_best_fit_packing, op10_quality_rules]
+    found = [op2_quality_classifier, op3_license_scan, op4_ring_sharding, op5_sentencepiece, op6_html_extraction, op7_warc_chunks, op8_minhash_near_duplicates, op9_best_fit_packing, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
