@@ -78,4 +78,13 @@ SELECT doc_id, CAST(many AS BIGINT) AS n_sentences, replace(ids, '  ', ' ') AS s
 """
 
 
-ORACLES = {"op3_license_scan": _op3(), "op7_warc_chunks": OP7, "op10_quality_rules": OP10}
+OP1 = """
+WITH c AS (SELECT DISTINCT vec_id, list_transform(embedding[1:64], lambda x: x >= 0) AS s FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) >= 64 AND len(list_filter(embedding[1:64], lambda x: x IS NULL)) = 0),
+p AS (SELECT q.vec_id AS query_id, r.vec_id AS neighbor_id, CAST(len(list_filter(list_zip(q.s, r.s), lambda z: z[1] <> z[2])) AS BIGINT) AS distance
+  FROM c q JOIN c r ON q.vec_id <> r.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS rank, neighbor_id, distance FROM p
+QUALIFY rank <= 10
+"""
+
+ORACLES = {"op1_hamming_top_k": OP1, "op3_license_scan": _op3(), "op7_warc_chunks": OP7, "op10_quality_rules": OP10}

@@ -10,6 +10,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row whose id is divisible by 50 against all rows; the nearest ten others of each."""
+    from actionflow.llm.hamming_search import sign_code, top_k
+
+    rows = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), sign_code(F.col("embedding")).alias("code"))
+    return top_k(rows, rows.where("id % 50 = 0"), k=10)
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from actionflow.llm.quality_classifier import report
 
@@ -69,7 +77,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    found = [op2_quality_classifier, op3_license_scan, op4_ring_sharding, op5_sentencepiece, op6_html_extraction, op7_warc_chunks, op8_minhash_near_duplicates, op9_best_fit_packing, op10_quality_rules]
+    found = [op1_hamming_top_k, op2_quality_classifier, op3_license_scan, op4_ring_sharding, op5_sentencepiece, op6_html_extraction, op7_warc_chunks, op8_minhash_near_duplicates, op9_best_fit_packing, op10_quality_rules]
     return {f.__name__: f for f in found}
 
 
