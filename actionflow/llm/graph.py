@@ -35,8 +35,8 @@ def components(edges: DataFrame) -> DataFrame:
     """
     edges = written(edges.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = _state(edges)
-    while before[0]:
-        edges = written(_small_star(_large_star(edges)), "stars")
+    while before[0]:  # a step makes no more edges than it gets
+        edges = written(_small_star(_large_star(edges)), "stars", before[0])
         after = _state(edges)
         if after == before:
             break

@@ -2,10 +2,12 @@
 
 1. A document's set of word shingles gives MinHash values. Bands of them name
    buckets of likely similar documents; all of them folded into a parity bitmap are
-   its odd sketch. Documents with equal sets are one node from here on.
-2. Every node is paired with the bucket leaders it shares most bands with. Pairs whose
-   sketches differ in too many bits (the population count of their XOR) are dropped,
-   the others compared on their full sets. That joins most of each group.
+   its odd sketch. The whole set folded into a wider bitmap is a second one.
+   Documents with equal sets are one node from here on.
+2. Every node is held against the leaders of its buckets. Pairs whose sketches
+   differ in too many bits (the population count of their XOR) are dropped; of the
+   others, those with the leaders it shares most bands with are compared on their
+   full sets. That joins most of each group.
 3. What is left are pairs of one bucket in different components. A join on the
    bucket tests all of them on sizes and sketches, inside the join's condition, so
    only survivors become rows; those are compared on their full sets too. Large
@@ -14,8 +16,10 @@
 4. Components of the confirmed links, by rounds of stars in shared tables.
 
 With 40 bands of 6 values, two sets at the threshold of 0.8 share no band with a
-chance of 5e-6; the sketch test then fails by chance for 2e-8 (it lets pass
-what is estimated at 0.6 or more).
+chance of 5e-6; the test on the sketch of MinHash values then fails by chance for
+2e-8 (it lets pass what is estimated at 0.6 or more). The test on the sketch of the
+whole set loses nothing: sets differ in at least as many elements as bits. For sets
+of up to some thousand shingles it lets little through that isn't a link.
 
 Defined results: a null or empty text, or one of white space, has an empty set and
 is linked with nothing; fewer words than a shingle make one shingle; equal rows are
@@ -34,7 +38,7 @@ from pyspark.sql.window import Window
 
 from actionflow.llm.graph import components
 from actionflow.llm.rawtext import BASE, U, Slice, mix, slices, windows
-from actionflow.llm.scratch import written
+from actionflow.llm.scratch import small_broadcast, written
 
 WORDS = 5
 PERCENT = 80
@@ -43,9 +47,10 @@ SAMPLES = BANDS * ROWS
 SKETCH_BITS = 512
 SKETCH_LONGS = SKETCH_BITS // 64
 LEAST_ESTIMATE = 0.6
+SET_BITS = 2048
+SET_LONGS = SET_BITS // 64
 LEADERS = 3  # pairs of a node in step 2; step 3 covers the rest
 SALT_OVER = 1000  # members of a bucket for each of its parts
-BROADCAST_ROWS = 500_000  # 16 bytes each
 
 _seed = np.random.RandomState(20_231)
 _MULTIPLY = (_seed.randint(0, 1 << 31, SAMPLES).astype(np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -55,7 +60,7 @@ _BAND = mix(np.arange(1, BANDS + 1, dtype=np.uint64) * U(0xA24BAED4963EE407))
 
 SIGNATURE = T.StructType([
     T.StructField("n", T.LongType()), T.StructField("c1", T.LongType()), T.StructField("c2", T.LongType()),
-    T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType())),
+    T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType())), T.StructField("parity", T.ArrayType(T.LongType())),
 ])
 
 
@@ -91,6 +96,14 @@ def minhash(own: np.ndarray) -> np.ndarray:
     return least
 
 
+def set_sketches(sets: list[np.ndarray]) -> np.ndarray:
+    """Parity bitmaps of whole sets."""
+    flips = np.zeros((len(sets), SET_BITS), np.uint8)
+    for i, s in enumerate(sets):
+        flips[i] = np.bincount((mix(s + U(0x2545F491)) % U(SET_BITS)).astype(np.int64), minlength=SET_BITS) & 1
+    return np.packbits(flips, axis=1).view(np.int64)
+
+
 def odd_sketches(samples: np.ndarray) -> np.ndarray:
     """Parity bitmaps (as 64-bit words) of rows of MinHash values: each value flips one bit."""
     n = len(samples)
@@ -118,7 +131,7 @@ def signature(text: Column, words: int) -> Column:
 
     @F.arrow_udf(SIGNATURE)
     def signed(text: pa.Array) -> pa.Array:
-        sizes, c1, c2, bands, sketches = [], [], [], [], []
+        sizes, c1, c2, bands, sketches, parities = [], [], [], [], [], []
         for part in slices(text):
             sets = shingle_sets(part, words)
             size = np.array([len(s) for s in sets])
@@ -134,10 +147,11 @@ def signature(text: Column, words: int) -> Column:
                     key = mix(key + rows[:, :, k])
                 bands.append(key.view(np.int64).ravel())
                 sketches.append(odd_sketches(samples).ravel())
+                parities.append(set_sketches([s for s in sets if len(s)]).ravel())
         size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
         flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
         as_long = lambda values: pa.array(np.array(values, np.uint64).view(np.int64))
-        columns = [pa.array(size.astype(np.int64)), as_long(c1), as_long(c2), _lists(flat(bands), (size > 0) * BANDS), _lists(flat(sketches), (size > 0) * SKETCH_LONGS)]
+        columns = [pa.array(size.astype(np.int64)), as_long(c1), as_long(c2), _lists(flat(bands), (size > 0) * BANDS), _lists(flat(sketches), (size > 0) * SKETCH_LONGS), _lists(flat(parities), (size > 0) * SET_LONGS)]
         return pa.StructArray.from_arrays(columns, SIGNATURE.names)
 
     return signed(text)
@@ -155,8 +169,14 @@ def full_set(text: Column, words: int) -> Column:
 def _alike(a: str, b: str, percent: int) -> Column:
     """Sizes and odd sketches of two nodes leave it possible that they are linked."""
     na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
-    bits = sum((F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(1, SKETCH_LONGS)), F.bit_count(F.col(f"{a}.s0").bitwiseXOR(F.col(f"{b}.s0"))))
-    return (100 * F.least(na, nb) >= percent * F.greatest(na, nb)) & (bits <= MOST_BITS)
+
+    def bits(letter: str, longs: int) -> Column:
+        each = [F.bit_count(F.col(f"{a}.{letter}{k}").bitwiseXOR(F.col(f"{b}.{letter}{k}"))) for k in range(longs)]
+        return sum(each[1:], each[0])
+
+    sizes = 100 * F.least(na, nb) >= percent * F.greatest(na, nb)
+    differ = (100 + percent) * bits("f", SET_LONGS) <= (100 - percent) * (na + nb)  # elements that two such sets can differ in
+    return sizes & differ & (bits("s", SKETCH_LONGS) <= MOST_BITS)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -168,11 +188,6 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return met.where(100 * shared >= percent * (F.size("su") + F.size("sv") - shared)).select("u", "v")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Marked for broadcast if it has few rows, else left to a shuffle join."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _signed(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
     read = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
     rows = read.select("id", F.xxhash64("text").alias("th"), signature(F.col("text"), words).alias("s")).select("id", "th", "s.*")
@@ -182,26 +197,28 @@ def _signed(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
 def _groups(docs: DataFrame, rows: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
     """For every set that more than one row or a link has: c1, c2 and the group's first row (id, th)."""
     key = F.struct(F.col("id").isNull().alias("no_id"), "id", "th")
-    same = rows.where("n > 0").groupBy("c1", "c2").agg(F.min(key).alias("row"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"))
-    nodes = written(same.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    same = rows.where("n > 0").groupBy("c1", "c2").agg(F.min(key).alias("row"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity"))
+    many = rows.count()
+    nodes = written(same.withColumn("node", F.monotonically_increasing_id()), "nodes", many)
     member = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count("*").alias("many"), F.min("node").alias("leader")).where("many > 1")
     member = written(member.join(shared, "bucket"), "members")
 
-    slim = nodes.select("node", "n", *[F.element_at("sketch", k + 1).alias(f"s{k}") for k in range(SKETCH_LONGS)])
+    slim = nodes.select("node", "n", *[F.element_at("sketch", k + 1).alias(f"s{k}") for k in range(SKETCH_LONGS)], *[F.element_at("parity", k + 1).alias(f"f{k}") for k in range(SET_LONGS)])
     busy = member.select("node").distinct()
-    slim = written(slim.join(busy, "node"), "sketches")
+    slim = written(slim.join(busy, "node"), "sketches", many)
     wanted = nodes.join(busy, "node").select("node", "row.id", "row.th")
     read = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text")).withColumn("hash", F.xxhash64("text"))
-    met = read.join(_small(wanted), F.col("doc").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("th")))
+    met = read.join(small_broadcast(wanted), F.col("doc").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("th")))
     sets = written(met.select("node", full_set(F.col("text"), words).alias("own")), "sets")
     if rows.groupBy("id", "th").count().where("count > 1").limit(1).count():
         sets = sets.dropDuplicates(["node"])
 
     votes = member.where("node != leader").groupBy("node", "leader").agg(F.count("*").alias("bands"))
-    best = Window.partitionBy("node").orderBy(F.desc("bands"), "leader")
-    chosen = votes.withColumn("k", F.row_number().over(best)).where(F.col("k") <= LEADERS).select(F.col("node").alias("u"), F.col("leader").alias("v"))
-    near = chosen.join(slim.alias("a"), F.col("u") == F.col("a.node")).join(slim.alias("b"), (F.col("v") == F.col("b.node")) & _alike("a", "b", percent)).select("u", "v")
+    voted = votes.select(F.col("node").alias("u"), F.col("leader").alias("v"), "bands").join(slim.alias("a"), F.col("u") == F.col("a.node"))
+    voted = voted.join(slim.alias("b"), (F.col("v") == F.col("b.node")) & _alike("a", "b", percent)).select("u", "v", "bands")
+    best = Window.partitionBy("u").orderBy(F.desc("bands"), "v")
+    near = voted.withColumn("k", F.row_number().over(best)).where(F.col("k") <= LEADERS).select("u", "v")
     first = components(_confirmed(near, sets, percent))
 
     joined = member.select("bucket", "node", "many").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -215,7 +232,7 @@ def _groups(docs: DataFrame, rows: DataFrame, doc_id: str, text: str, words: int
     final = components(links)
 
     known = nodes.select("node", "c1", "c2", "row", "rows").join(final, "node", "left").where("rows > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
-    known = written(known, "known")
+    known = written(known, "known", many)
     firsts = known.groupBy("component").agg(F.min("row").alias("first"))
     return known.join(firsts, "component").select("c1", "c2", F.col("first.id").alias("first_id"), F.col("first.th").alias("first_th"))
 
@@ -238,14 +255,14 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
     groups = _groups(docs, rows, doc_id, text, words, percent).withColumnsRenamed({"c1": "g1", "c2": "g2"})
     met = rows.join(groups, (F.col("c1") == F.col("g1")) & (F.col("c2") == F.col("g2")) & (F.col("n") > 0))
     gone = met.where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th")))).select(F.col("id").alias("__nd_id"), F.col("th").alias("__nd_th")).distinct()
-    gone = written(gone, "gone")
+    gone = written(gone, "gone", rows.count())
     c = lambda name: F.col(f"`{name}`")
     hashed = docs.withColumn("__nd_hash", F.xxhash64(c(text)))
     on = c(doc_id).cast("bigint").eqNullSafe(F.col("__nd_id")) & (F.col("__nd_hash") == F.col("__nd_th"))
-    left = hashed.join(_small(gone), on, "left_anti")
+    left = hashed.join(small_broadcast(gone), on, "left_anti")
     twice = rows.where("n > 0").groupBy("id", "th").agg(F.count("*").alias("many")).where("many > 1").select(F.col("id").alias("__nd_id"), F.col("th").alias("__nd_th"))
-    twice = written(twice, "twice")
+    twice = written(twice, "twice", rows.count())
     if twice.limit(1).count():  # rows alike in id and text: one of each stays
-        again = hashed.join(_small(twice), on, "left_semi").join(_small(gone), on, "left_anti")
-        left = left.join(_small(twice), on, "left_anti").unionByName(again.groupBy(c(doc_id).alias("__nd_id"), "__nd_hash").agg(F.first(F.struct(*[c(n) for n in docs.columns])).alias("__nd_row")).select("__nd_row.*", "__nd_hash"))
+        again = hashed.join(small_broadcast(twice), on, "left_semi").join(small_broadcast(gone), on, "left_anti")
+        left = left.join(small_broadcast(twice), on, "left_anti").unionByName(again.groupBy(c(doc_id).alias("__nd_id"), "__nd_hash").agg(F.first(F.struct(*[c(n) for n in docs.columns])).alias("__nd_row")).select("__nd_row.*", "__nd_hash"))
     return left.select(*[c(name) for name in docs.columns])

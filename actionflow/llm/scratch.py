@@ -6,6 +6,11 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+ROWS_PER_FILE = 25_000
+BROADCAST_ROWS = 500_000  # of a few numbers or short names each
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -24,13 +29,22 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/table-{uuid.uuid4().hex}/{name}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
     """The same rows, read back from a Parquet table in the shared folder.
 
     Cuts the lineage: what follows survives the loss of any executor and doesn't
     compute ``df`` again. The table stays until the owner of the folder clears it.
+    most_rows: if it is known how many narrow rows there are at most, the table gets
+    a file for each ROWS_PER_FILE of them instead of one for each partition.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
+    if most_rows is not None:
+        df = df.coalesce(max(1, -(-most_rows // ROWS_PER_FILE)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def small_broadcast(df: DataFrame) -> DataFrame:
+    """A narrow table, marked for broadcast if its rows are counted to be few; else it is left to a shuffle join."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
