@@ -29,7 +29,7 @@ def files_of(spark: SparkSession, roots: list[tuple[str, str]]) -> DataFrame:
     found = None
     for source, root in roots:
         try:
-            one = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root)
+            one = spark.read.text(root, wholetext=True, recursiveFileLookup=True)
         except AnalysisException as e:
             if "PATH_NOT_FOUND" not in str(e):
                 raise
@@ -46,7 +46,7 @@ def normalize(rows: DataFrame) -> DataFrame:
     d = F.col("d")
     text = lambda c: F.coalesce(c, F.lit(""))
     words = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    kind = F.lower(F.trim(text(d["executor.type"])))
+    kind = F.lower(F.trim(text(F.col("d.executor.type"))))
     driver = F.when(text(d["driver"]) != "", d["driver"]).when(kind.isin("cli", "pipeline", "meta"), kind).when(kind == "native", F.lit("image")).otherwise(F.lit("meta"))
     blank = lambda c: F.trim(text(c)) == ""
     error = F.when(d.isNull() | F.col("broken"), F.lit("malformed definition"))
