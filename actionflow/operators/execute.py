@@ -11,10 +11,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from actionflow.operators import images
+from actionflow.functions.paths import data_url
+from actionflow.operators import images, jpeg
 from actionflow.plans.compile import Step
 
-RASTERS = {".png"}  # what the image driver can write; other encoders aren't there
+READERS = {".png": images.decode_png, ".jpg": jpeg.decode, ".jpeg": jpeg.decode}  # others come in through sources.images
 QUALITY_FALLBACK = 90.0
 
 
@@ -33,12 +34,12 @@ def number(params: dict, name: str, fallback: float) -> float:
 
 
 class ImageDriver:
-    """The shipped native actions on PNG bytes."""
+    """The shipped native actions on PNG and JPEG bytes."""
 
     def run(self, content: bytes, current: str, step: Step, extension: str) -> bytes:
-        if current not in RASTERS or extension not in RASTERS:
-            raise images.Unsupported(f"no codec for {current} to {extension}: only PNG is read and written here")
-        pixels = images.decode_png(content)
+        if current not in READERS or extension not in READERS:
+            raise images.Unsupported(f"no codec for {current} to {extension}: PNG and baseline JPEG are read and written here")
+        pixels = READERS[current](content)
         if step.action == "resize":
             pixels = images.resize_percent(pixels, number(step.params, "percent", 100))
         elif step.action == "grayscale":
@@ -47,7 +48,9 @@ class ImageDriver:
             pixels = images.blur(pixels, number(step.params, "radius", 2.0))
         elif step.action not in ("compress", "convert_to_png", "convert_to_jpeg"):
             raise ValueError(f"no native action {step.action}")
-        return images.encode_png(pixels, 9 if step.action == "compress" else 6)
+        if extension == ".png":
+            return images.encode_png(pixels, 9 if step.action == "compress" else 6)
+        return jpeg.encode(pixels, int(min(100, max(40, number(step.params, "quality", QUALITY_FALLBACK)))))
 
 
 def render(template: str, source: str, target: str, params: dict) -> str:
@@ -113,15 +116,13 @@ def apply_steps(files: DataFrame, plans: dict[str, list[Step]] | list[Step], bat
                     except Exception as e:  # whatever it is, it is this file's
                         error = f"{type(e).__name__}: {e}"
                     try:
-                        shown = images.preview(content)
+                        shown = images.preview(READERS[current](content))
                     except Exception:
                         shown = None  # no stale preview stays
                     rows.append((i, position, content, current, len(content), shown, error))
                 yield pd.DataFrame(rows, columns=["id", "position", "content", "current_extension", "size", "preview", "error"])
 
     raw = "id string, position bigint, content binary, current_extension string, size bigint, preview binary, error string"
-    from actionflow.functions.paths import data_url
-
     done = files.select("id", "position", "content", "current_extension").mapInPandas(work, raw)
     return done.withColumn("preview", data_url(F.col("preview")))
 

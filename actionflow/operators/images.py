@@ -131,9 +131,8 @@ def blur(pixels: np.ndarray, sigma: float) -> np.ndarray:
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
-def preview(data: bytes) -> bytes:
+def preview(pixels: np.ndarray) -> bytes:
     """A PNG of 520 columns at most, its shape kept."""
-    pixels = decode_png(data)
     height, width = pixels.shape[:2]
     if width > PREVIEW_WIDTH:
         pixels = resize(pixels, PREVIEW_WIDTH, max(1, round(height * PREVIEW_WIDTH / width)))

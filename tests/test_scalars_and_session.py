@@ -4,12 +4,13 @@ import random
 import numpy as np
 import pytest
 from actionflow.functions import params, paths, permissions, text
-from actionflow.operators import execute, images
+from actionflow.operators import execute, images, jpeg
 from actionflow.operators.export import assign_free, resolve
 from actionflow.operators.session import Session
 from actionflow.plans.compile import PlanError, Step
 from actionflow.sources import catalog as catalogs
 from actionflow.sources.definitions import write_shipped
+from actionflow.sources.images import as_png, dropped_files, read_rasters, to_png
 from pyspark.sql import functions as F
 
 L = F.lit
@@ -92,8 +93,40 @@ def test_png_and_kernels():
     flat = np.full((8, 6, 4), 77, np.uint8)
     assert (images.blur(flat, 2.0) == 77).all() and (images.resize_percent(flat, 50) == 77).all() and images.resize_percent(flat, 50).shape == (4, 3, 4)
     assert images.grayscale(np.array([[[200, 0, 10, 255]]], np.uint8))[0, 0].tolist() == [61, 61, 61, 255]
-    wide = images.encode_png(np.zeros((2, 600, 3), np.uint8))
-    assert images.decode_png(images.preview(wide)).shape[:2] == (2, 520)
+    assert images.decode_png(images.preview(np.zeros((2, 600, 4), np.uint8))).shape[:2] == (2, 520)
+
+
+def test_jpeg(spark, tmp_path):
+    y, x = np.mgrid[0:21, 0:37]
+    smooth = np.stack([x * 6, y * 11, 255 - x * 3, np.full_like(x, 255)], 2).astype(np.uint8)
+    noise = np.random.RandomState(3).randint(0, 256, (9, 17, 4)).astype(np.uint8)
+    for pixels, near in ((smooth, 3), (noise, 8), (np.full((1, 1, 4), 9, np.uint8), 2)):
+        data = jpeg.encode(pixels, 100)
+        got = jpeg.decode(data)
+        assert np.abs(got[:, :, :3].astype(int) - pixels[:, :, :3]).max() <= near
+        (tmp_path / "x.jpg").write_bytes(data)
+        r = read_rasters(spark, str(tmp_path / "x.jpg")).first()  # Spark's decoder agrees
+        other = images.decode_png(to_png(bytes(r["data"]), r["width"], r["height"], r["channels"]))
+        assert np.abs(other[:, :, :3].astype(int) - got[:, :, :3]).max() <= 2
+    assert len(jpeg.encode(smooth, 40)) < len(jpeg.encode(smooth, 90))
+    with pytest.raises(images.Unsupported):
+        jpeg.decode(b"xx")
+    png = images.encode_png(smooth)
+    step = lambda a, out="": Step(a, "image", {"percent": 50}, out, "native")
+    data, ext = execute.run_steps(png, ".png", [step("convert_to_jpeg", ".jpg"), step("resize"), step("convert_to_png", ".png")])
+    assert ext == ".png" and images.decode_png(data).shape[:2] == (10, 18)
+
+
+def test_image_source(spark, tmp_path):
+    p = np.random.RandomState(0).randint(0, 256, (5, 4, 3)).astype(np.uint8)
+    (tmp_path / "a.png").write_bytes(images.encode_png(p))
+    (tmp_path / "b.png").write_bytes(b"xx")
+    got = {r.origin[-5:]: r.content for r in as_png(read_rasters(spark, str(tmp_path))).collect()}
+    assert got["b.png"] is None and (images.decode_png(bytes(got["a.png"]))[:, :, :3] == p).all()
+    seen = []
+    stream = dropped_files(spark, str(tmp_path)).writeStream.foreachBatch(lambda d, n: seen.extend(r.length for r in d.collect())).option("checkpointLocation", str(tmp_path / "p")).trigger(availableNow=True).start()
+    stream.awaitTermination()
+    assert 2 in seen
 
 
 def test_tools():
