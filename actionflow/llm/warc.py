@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from actionflow.llm.scratch import new_path, written
+from actionflow.llm.scratch import new_path, small_broadcast, written
 
 REVISIT_BYTES = 1000
 CHUNK_BYTES = 256 << 10
@@ -122,8 +122,8 @@ def write(pages: DataFrame, folder: str, record_id: str = "page_id", uri: str =
     slim = written(rows.where(F.octet_length("body") >= REVISIT_BYTES).select("id", "digest"), "digests")
     largest = slim.groupBy("digest").agg(F.max("id").alias("largest"), F.min("id").alias("least"), F.count("id").alias("ids"), F.count("*").alias("all"))
     revisits = slim.join(largest.where("least < largest OR (ids > 0 AND ids < all)"), "digest").where("NOT id <=> largest")
-    revisits = revisits.select(F.col("id").alias("own_id"), F.col("digest").alias("own_digest"), "largest").distinct()
-    met = rows.join(revisits, F.col("id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")), "left")
+    revisits = written(revisits.select(F.col("id").alias("own_id"), F.col("digest").alias("own_digest"), "largest").distinct(), "revisits")
+    met = rows.join(small_broadcast(revisits), F.col("id").eqNullSafe(F.col("own_id")) & (F.col("digest") == F.col("own_digest")), "left")
     ready = met.select("id", "uri", "body", "digest", "largest")
 
     def save(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
