@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from actionflow.llm.rawtext import slices, windows
-from actionflow.llm.scratch import written
+from actionflow.llm.scratch import small_broadcast, written
 
 MOST_TRAINING_ROWS = 20_000
 THRESHOLD = 0.5
@@ -238,5 +238,5 @@ def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     scored = docs.select(c(host).alias("host"), c(path).alias("path"), _sigmoid(evidence(model, c(text))).alias("p"))
     sites, mean = site_posteriors(scored)
     sites = sites.select(F.col("host").alias("__qc_host"), F.col("path").alias("__qc_path"), F.col("p_path").alias("__qc_p"))
-    met = docs.withColumn("__qc_odds", evidence(model, c(text))).join(sites, c(host).eqNullSafe(F.col("__qc_host")) & c(path).eqNullSafe(F.col("__qc_path")), "left")
+    met = docs.withColumn("__qc_odds", evidence(model, c(text))).join(small_broadcast(sites), c(host).eqNullSafe(F.col("__qc_host")) & c(path).eqNullSafe(F.col("__qc_path")), "left")
     return met.where(F.coalesce(_combined(F.col("__qc_odds"), F.col("__qc_p"), mean), F.lit(0.0)) >= THRESHOLD).select(*[c(name) for name in docs.columns])

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from actionflow.llm.rawtext import SPACE, slices, windows
+from actionflow.llm.scratch import small_broadcast, written
 
 MIN_WORDS = 10
 WINDOW = 5
@@ -96,7 +97,7 @@ def host_verdicts(judged: DataFrame, host: str) -> DataFrame:
     judged: ``host`` and a boolean column for each rule. Summed on the map side
     first, so a host with a third of all rows costs a row for each task.
     """
-    hosts = judged.groupBy(host).agg(F.count("*").alias("n"), *[F.sum(F.col(r).cast("bigint")).alias(r) for r in RULES])
+    hosts = written(judged.groupBy(host).agg(F.count("*").alias("n"), *[F.sum(F.col(r).cast("bigint")).alias(r) for r in RULES]), "hosts")
     total = hosts.agg(F.count("*").alias("hosts"), F.sum("n").alias("n"), *[F.sum(r).alias(r) for r in RULES], *[F.sum(F.col(r) * F.col(r) / F.col("n")).alias(f"{r}_sq") for r in RULES]).first()
     rates = {}
     for r in RULES:
@@ -115,8 +116,8 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source") -> DataFram
 
     The texts are gone through twice, once for the sums by host and once for the
     documents, so that no text is shuffled: the second time a document needs only
-    the row of its host, which Spark broadcasts if it finds the hosts small and
-    else joins with skewed hosts split.
+    the row of its host, broadcast if the hosts are counted to be few, else joined
+    with skewed hosts split.
     """
     counts = docs.select(F.col(host).alias("host"), text_counts(F.col(text)).alias("c"))
     verdicts = host_verdicts(counts.select("host", *[c.alias(r) for r, c in failed(F.col("c")).items()]), "host")
@@ -126,7 +127,7 @@ def judge(docs: DataFrame, text: str = "text", host: str = "source") -> DataFram
 def _with_verdicts(docs: DataFrame, verdicts: DataFrame, text: Column, host: str) -> DataFrame:
     names = docs.columns
     own = verdicts.select(F.col("host").alias("__qr_host"), F.struct(*[c for c in verdicts.columns if c != "host"]).alias("__qr_verdict"))
-    joined = docs.withColumn("__qr_counts", text_counts(text)).join(own, F.col(f"`{host}`").eqNullSafe(F.col("__qr_host")), "left")
+    joined = docs.withColumn("__qr_counts", text_counts(text)).join(small_broadcast(own), F.col(f"`{host}`").eqNullSafe(F.col("__qr_host")), "left")
     base = failed(F.col("__qr_counts"))["base"]
     rejected = F.coalesce(F.col("__qr_verdict.host_rejected"), F.lit(False))
     return joined.select(*[F.col(f"`{c}`") for c in names], F.struct(F.col("__qr_counts.*"), base.alias("base_failed"), F.col("__qr_verdict.*"), (~base & ~rejected).alias("kept")).alias("__qr"))
@@ -139,8 +140,6 @@ def keep_good(docs: DataFrame, text: str = "text", host: str = "source") -> Data
 
 def report(docs: DataFrame, id_column: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
     """A narrow row for each document. The counts are written once and used for both the sums and the verdicts."""
-    from actionflow.llm.scratch import written
-
     counted = written(docs.select(F.col(id_column).alias("id"), F.col(host).alias("host"), text_counts(F.col(text)).alias("c")), "quality_rules")
     verdicts = host_verdicts(counted.select("host", *[c.alias(r) for r, c in failed(F.col("c")).items()]), "host")
     own = verdicts.withColumnRenamed("host", "own_host")

@@ -13,6 +13,25 @@ ROWS_PER_FILE = 25_000
 BROADCAST_ROWS = 500_000  # of a few numbers or short names each
 
 
+# Of whole texts a batch of the default 10,000 rows takes tens of megabytes, and some hundred when texts are long.
+BATCHES = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20),
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+}
+
+
+def bounded_batches(spark: SparkSession) -> SparkSession:
+    """Bounds what a task holds of texts at once: batches to and from Python, and of the Parquet reader.
+
+    What the session has set itself is left as it is.
+    """
+    for name, most in BATCHES.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, most)
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; set here only if the session has none."""
     found = spark.conf.get("spark.checkpoint.dir", None)
