@@ -12,24 +12,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from actionflow.llm import near_duplicates, packing, quality_classifier, quality_rules
-from actionflow.llm.scratch import written
+from actionflow.llm.scratch import bounded_batches, written
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").selectExpr("doc_id AS id", "quality AS good")
+    labels = bounded_batches(spark).read.parquet(f"{sf_dir}/labels.parquet").selectExpr("doc_id AS id", "quality AS good")
     return quality_classifier.keep_good(docs, labels)
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return quality_rules.keep_good(docs)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five words a shingle and a similarity of 0.8: the operator's defaults."""
+    bounded_batches(spark)
     return near_duplicates.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     return packing.pack(docs)
 
 
