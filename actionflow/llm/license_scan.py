@@ -1,8 +1,10 @@
 """Licence scan by sentences and ordered rules, in DataFrame expressions only.
 
-A text is cut into sentences, once with every line break as an end and once with
-wrapped lines joined. Each sentence is normalised (ASCII letters in lower case,
-anything that is no letter or digit as one space) and looked up among the known
+A text is normalised: ASCII letters in lower case, anything that is no letter or
+digit as one space, comment marks at line starts dropped. A sentence ends at a mark
+of its end or at a blank line; any other line break, also one with nothing but a
+comment mark behind it, may be an end or lie inside a sentence. All stretches from
+one such place to another are looked up, in one search, among the known
 licence sentences, which gives the text's sequence of sentence identifiers. A rule
 is an ordered list of identifiers; it holds if they occur in that order, others
 may come between. What licences the rules name is the result.
@@ -102,18 +104,35 @@ def known_sentences() -> dict[str, str]:
     return found
 
 
-def sentence_ids(text: Column) -> Column:
-    """The identifiers of a text's known sentences in order, of the two ways to cut it the one that knows more."""
-    known = F.create_map(*chain.from_iterable((F.lit(s), F.lit(i)) for s, i in known_sentences().items()))
+def known_pattern() -> str:
+    """All known sentences as one pattern over ``marked`` texts; at one place the shortest goes first."""
+    tree: dict = {}
+    for sentence in known_sentences():
+        node = tree
+        for word in sentence.split(" "):
+            node = node.setdefault(word, {})
+        node[""] = {}
+
+    def after(node: dict) -> str:
+        ways = ["(?=[SH])"] * ("" in node) + [f"[ S]{w}{after(n)}" for w, n in node.items() if w]
+        return ways[0] if len(ways) == 1 else f"(?:{'|'.join(ways)})"
+
+    return f"(?<=[SH])(?:{'|'.join(w + after(n) for w, n in tree.items())})"
 
-    def ids(cut: Column) -> Column:
-        ended = F.regexp_replace(cut, "([.!?])[ \\t\\r]+", "$1\n")
-        plain = F.transform(F.split(ended, "\n"), lambda s: F.trim(F.regexp_replace(F.translate(s, UPPER, LOWER), "[^a-z0-9]+", " ")))
-        return F.array_compact(F.transform(plain, lambda s: F.element_at(known, s)))
 
-    joined = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, ":[ \\t\\r]*\\n", ":. "), "\\n[ \\t\\r]*\\n", ". "), "[ \\t\\r]*\\n[^a-zA-Z0-9\\n]*", " ")
-    by_line, whole = ids(text), ids(joined)
-    found = F.when(F.size(by_line) >= F.size(whole), by_line).otherwise(whole)
+def marked(text: Column) -> Column:
+    """The normalised text with H where a sentence must end and S where it may."""
+    t = F.concat(F.lit("\n"), F.translate(text, UPPER, LOWER), F.lit("\n"))
+    for pattern, by in (("\\n[ \\t\\r]*(?=\\n)", "H"), ("\\n[^a-z0-9H\\n]*", "S"), ("[.!?](?=[ \\t\\rSH])", "H"), ("[^a-z0-9SH]+", " "), (" ?S[ S]*", "S"), ("[ S]?H[ SH]*", "H")):
+        t = F.regexp_replace(t, pattern, by)
+    return t
+
+
+def sentence_ids(text: Column) -> Column:
+    """The identifiers of a text's known sentences in order, whether each is on a line of its own or wrapped."""
+    known = F.create_map(*chain.from_iterable((F.lit(s), F.lit(i)) for s, i in known_sentences().items()))
+    met = F.regexp_extract_all(marked(text), F.lit(known_pattern()), F.lit(0))
+    found = F.transform(met, lambda s: F.element_at(known, F.translate(s, "S", " ")))
     return F.coalesce(F.when(text.rlike(ANCHOR_PATTERN), found), F.array().cast("array<string>"))
 
 

@@ -57,6 +57,23 @@ def test_cases(spark):
     assert ls.scan(df.limit(0)).collect() == []
 
 
+GPL3 = [ls.SENTENCES[k] for k in ("gpl3-grant", "gpl-warranty")]
+
+
+def test_comment_headers(spark):
+    """Blank comment lines and unpunctuated lines above a wrapped notice; each kind of comment mark."""
+    bodies = ["\n".join(wrap(s, 60, m) for s in GPL3) for m in (" * ", "# ", "// ", "! ", "")]
+    texts = [
+        "/* Copyright (C) 2020 Foo\n *\n" + bodies[0] + "\n */", "# SPDX line follows\n#\n" + bodies[1], "// MIT-ish Title\n" + bodies[2], "! Fortran\n!\n" + bodies[3], "Title\n" + bodies[4],
+        bodies[0].replace("free software: ", "free software:\n * ").replace("\n", "\n *\n"), "Copyright Foo\r\n" + bodies[4].replace("\n", "\r\n"),
+        'Licensed under the Apache License,\nVersion 2.0 (the "License");\nyou may not use this file except in compliance with the License.',
+    ]
+    got = {r.doc_id: r for r in ls.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    for i, text in enumerate(texts[:-1]):
+        assert (got[i].sentence_ids, got[i].licenses) == (["gpl3-grant", "gpl-warranty"], ["GPL-3.0"]), text
+    assert got[len(texts) - 1].licenses == ["Apache-2.0"]
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id int, text string")
     assert "Python" not in ls.scan(df)._jdf.queryExecution().toString()
