@@ -7,7 +7,9 @@ comment mark behind it, may be an end or lie inside a sentence. All stretches fr
 one such place to another are looked up, in one search, among the known
 licence sentences, which gives the text's sequence of sentence identifiers. A rule
 is an ordered list of identifiers; it holds if they occur in that order, others
-may come between. What licences the rules name is the result.
+may come between. A sentence that a rule doesn't allow must not lie among those it
+asks for; elsewhere it belongs to another notice of the text. What licences the rules
+name is the result.
 
 Texts without any of ``ANCHORS`` are not cut up: every known sentence has one, so
 nothing is lost by that.
@@ -71,7 +73,7 @@ NAMED = {
 }
 SAID = ["Licensed under", "Released under", "This work is licensed under", "This software is licensed under", "This project is licensed under", "Distributed under", "Available under license"]
 
-# Fixed values: (licence, sentences in this order, sentences that must not occur).
+# Fixed values: (licence, sentences in this order, sentences that must not occur among them).
 RULES = [
     ("MIT", ["mit-grant", "mit-notice", "mit-warranty", "mit-liability"], []),
     ("BSD-3-Clause", ["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty"], []),
@@ -139,12 +141,10 @@ def sentence_ids(text: Column) -> Column:
 def licences(ids: Column) -> Column:
     """The licences whose rules hold for a sequence of identifiers, sorted."""
     line = F.concat(F.lit(" "), F.array_join(ids, "  "), F.lit(" "))
-    has = lambda wanted: line.like("% " + " % ".join(wanted) + " %")
     holds = []
     for name, wanted, unwanted in RULES:
-        rule = has(wanted)
-        for u in unwanted:
-            rule = rule & ~has([u])
+        pattern = "% " + " % ".join(wanted) + " %"
+        rule = F.exists(F.split(line, "|".join(f" {u} " for u in unwanted)), lambda part: part.like(pattern)) if unwanted else line.like(pattern)  # noqa: B023
         holds.append(F.when(rule, F.lit(name)))
     return F.when(F.size(ids) > 0, F.array_sort(F.array_distinct(F.array_compact(F.array(*holds))))).otherwise(F.array().cast("array<string>"))
 

@@ -74,6 +74,22 @@ def test_comment_headers(spark):
     assert got[len(texts) - 1].licenses == ["Apache-2.0"]
 
 
+def test_mixed_forms(spark):
+    """Licences on lines of their own and wrapped ones in one text."""
+    two, three = (["bsd-grant", "bsd-source", "bsd-binary", *e, "bsd-warranty"] for e in ([], ["bsd-endorse"]))
+    lines, wrapped = (lambda ids: "\n".join(ls.SENTENCES[k] for k in ids)), (lambda ids: "\n\n".join(wrap(ls.SENTENCES[k]) for k in ids))
+    cases = [
+        ("SPDX-License-Identifier: MIT\nReleased under the ISC License\nLicensed under CC BY 4.0\n\n" + "\n".join(wrap(s) for s in GPL3), ["named-MIT", "named-ISC", "named-CC-BY-4.0", "gpl3-grant", "gpl-warranty"], ["CC-BY-4.0", "GPL-3.0", "ISC", "MIT"]),
+        (wrapped(["gpl3-grant", "gpl-warranty"]) + "\nReleased under the ISC License\n" + wrapped(["mpl-subject"]), ["gpl3-grant", "gpl-warranty", "named-ISC", "mpl-subject"], ["GPL-3.0", "ISC", "MPL-2.0"]),
+        (lines(two) + "\n\n" + wrapped(three), two + three, ["BSD-2-Clause", "BSD-3-Clause"]),
+        (wrapped(three) + "\n\n" + lines(two), three + two, ["BSD-2-Clause", "BSD-3-Clause"]),
+        (lines(three) + "\n\n" + wrapped(three), three + three, ["BSD-3-Clause"]),
+    ]
+    got = {r.doc_id: r for r in ls.scan(spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "doc_id int, text string")).collect()}
+    for i, (_, ids, names) in enumerate(cases):
+        assert (got[i].sentence_ids, got[i].licenses) == (ids, names)
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id int, text string")
     assert "Python" not in ls.scan(df)._jdf.queryExecution().toString()
