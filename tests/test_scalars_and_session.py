@@ -85,6 +85,25 @@ def test_collisions(spark):
     assert [x.resolved for x in got.orderBy("position").collect()] == want
 
 
+def test_collisions_without_bound(spark):
+    """Over 999 requests for one name, without and with a clash; random families against one pass in order."""
+    assert assign_free(["a.png"] * 1500, set())[-1] == "a-1499.png"
+    r = random.Random(2)
+    pool = [f"{b}{s}{e}" for b in "abcd" for s in ("", "-1", "-2", "-1-1", "-01", "-40", "-99999999999999999999") for e in (".png", ".x", "")]
+    asked = [("hot", n) for n in ["a.png"] * 1500 + ["b.png"] * 700 + ["b-600.png"] + ["b.png"] * 700 + ["c-5.png", "c.png"]]
+    asked += [(f"f{i}", n) for i in range(12) for n in r.choices(r.sample(pool, 1 + i), k=30)] + [(None, "a.png")] * 2
+    r.shuffle(asked)
+    taken = [("hot", "a.png"), ("hot", "c-5.png"), ("f0", "a.png"), ("f5", "b-1.x")] + [(f"f{i}", n) for i in range(6, 12) for n in r.sample(pool, 3)] + [(None, "a.png")]
+    got = resolve(spark.createDataFrame([(f, i * i, n) for i, (f, n) in enumerate(asked)], "folder string, position bigint, name string"), spark.createDataFrame(taken + taken[:2], "folder string, name string"))
+    rows = [(x.position, x.folder, x.name, x.resolved) for x in got.collect()]
+    want = []
+    for folder in {f for f, _ in asked}:
+        mine = [(i * i, n) for i, (f, n) in enumerate(asked) if f == folder]
+        made = assign_free([n for _, n in mine], {n for f, n in taken if f == folder})
+        want += [(p, folder, n, m) for (p, n), m in zip(mine, made, strict=True)]
+    assert sorted(rows, key=lambda x: x[0]) == sorted(want, key=lambda x: x[0])
+
+
 def test_png_and_kernels():
     r = np.random.RandomState(0)
     p = r.randint(0, 256, (6, 4, 4)).astype(np.uint8)
