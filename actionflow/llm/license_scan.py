@@ -45,10 +45,18 @@ SENTENCES = {
     "gpl2-grant": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "gpl-details": "See the GNU General Public License for more details.",
+    "lgpl21-grant": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "lgpl3-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl3-library": "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "lgpl-warranty": "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
+    "lgpl-details": "See the GNU Lesser General Public License for more details.",
+    "agpl3-grant": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "agpl-details": "See the GNU Affero General Public License for more details.",
     "mpl-subject": "This Source Code Form is subject to the terms of the Mozilla Public License, v.",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "isc-warranty": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
     "unlicense-domain": "This is free and unencumbered software released into the public domain.",
+    "rights-reserved": "All rights reserved.",
 }
 
 # What licences are called, after their SPDX identifiers.
@@ -82,13 +90,17 @@ RULES = [
     ("Apache-2.0", ["apache-both"], []),
     ("GPL-3.0", ["gpl3-grant", "gpl-warranty"], []),
     ("GPL-2.0", ["gpl2-grant", "gpl-warranty"], []),
+    ("LGPL-2.1", ["lgpl21-grant", "lgpl-warranty"], []),
+    ("LGPL-3.0", ["lgpl3-grant", "gpl-warranty"], []),
+    ("LGPL-3.0", ["lgpl3-library", "lgpl-warranty"], []),
+    ("AGPL-3.0", ["agpl3-grant", "gpl-warranty"], []),
     ("MPL-2.0", ["mpl-subject"], []),
     ("ISC", ["isc-grant", "isc-warranty"], []),
     ("Unlicense", ["unlicense-domain"], []),
     *[(name, [f"named-{name}"], []) for name in NAMED],
 ]
 
-ANCHORS = ("licen", "copyright", "permission", "warrant", "redistribut", "unencumbered", "released", "distributed")
+ANCHORS = ("licen", "copyright", "permission", "warrant", "redistribut", "unencumbered", "released", "distributed", "reserved")
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ANCHOR_PATTERN = "|".join("".join(f"[{c.upper()}{c}]" for c in a) for a in ANCHORS)
 

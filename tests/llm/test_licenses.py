@@ -90,6 +90,16 @@ def test_mixed_forms(spark):
         assert (got[i].sentence_ids, got[i].licenses) == (ids, names)
 
 
+def test_lesser_and_affero_notices(spark):
+    """Standard file notices; a rights line has an identifier and is no licence."""
+    notices = [("lgpl21-grant", "lgpl-warranty", "lgpl-details", "LGPL-2.1"), ("lgpl3-grant", "gpl-warranty", "lgpl-details", "LGPL-3.0"), ("lgpl3-library", "lgpl-warranty", "lgpl-details", "LGPL-3.0"), ("agpl3-grant", "gpl-warranty", "agpl-details", "AGPL-3.0")]
+    rows = [("/*\n" + "\n *\n".join(wrap(ls.SENTENCES[k], 65, " * ") for k in n[:3]) + "\n */", list(n[:3]), [n[3]]) for n in notices]
+    rows.append(("Foo 2020. All rights reserved.\nprose", ["rights-reserved"], []))
+    got = {r.doc_id: r for r in ls.scan(spark.createDataFrame([(i, r[0]) for i, r in enumerate(rows)], "doc_id int, text string")).collect()}
+    for i, (_, ids, names) in enumerate(rows):
+        assert (got[i].sentence_ids, got[i].licenses) == (ids, names)
+
+
 def test_no_python_in_the_plan(spark):
     df = spark.createDataFrame([(1, "a")], "doc_id int, text string")
     assert "Python" not in ls.scan(df)._jdf.queryExecution().toString()
