@@ -41,13 +41,14 @@ MOST_SEGMENT_BITS = 16
 
 
 def sign_code(embedding: Column, bits: int = BITS) -> Column:
-    """A bigint whose bit i says if component i (of the first ``bits``) is not negative; null for a null or short vector or one with a null component there."""
+    """A bigint whose bit i says if component i is not negative; null for a null or short vector or one with a null component there; a wider one is an error."""
     at = lambda i: F.get(embedding, i)
     parts = [F.when(at(i) >= 0, F.lit(1 << i if i < 63 else -(1 << 63)).cast("bigint")).when(at(i) < 0, F.lit(0).cast("bigint")) for i in range(bits)]
     code = parts[0]
     for p in parts[1:]:
         code = code.bitwiseOR(p)
-    return code
+    wide = F.raise_error(F.concat(F.lit(f"a code has {bits} bits, a vector here has this many components: "), F.size(embedding).cast("string")))
+    return F.when(F.size(embedding) > bits, wide.cast("bigint")).otherwise(code)
 
 
 @lru_cache(maxsize=256)

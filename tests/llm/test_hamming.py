@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from actionflow.llm.hamming_search import Index, sign_code, top_k
 from pyspark.sql import functions as F
 
@@ -54,3 +55,10 @@ def test_sign_code(spark):
             assert x.c is None
         else:
             assert x.c & (2**64 - 1) == sum(1 << b for b in range(64) if x.e[b] >= 0)
+
+
+def test_wide_vectors_are_an_error(spark):
+    """They would be searched on their first components only."""
+    df = spark.createDataFrame([(0, [1.0] * 65)], "i int, e array<float>")
+    with pytest.raises(Exception, match="components: 65"):
+        df.select(sign_code(F.col("e"))).collect()
