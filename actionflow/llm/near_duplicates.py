@@ -8,18 +8,22 @@
    differ in too many bits (the population count of their XOR) are dropped; of the
    others, those with the leaders it shares most bands with are compared on their
    full sets. That joins most of each group.
-3. What is left are pairs of one bucket in different components. A join on the
-   bucket tests all of them on sizes and sketches, inside the join's condition, so
-   only survivors become rows; those are compared on their full sets too. Large
-   buckets are salted. No pair of a bucket that could link two components is
-   skipped, so no link between components is lost to the shortcut of step 2.
+3. What is left are pairs of one bucket in different components. Members outside
+   the bucket's largest component are held against all others by a join on the
+   bucket that tests sizes and sketches in its condition, so only survivors become
+   rows; those are compared on their full sets too. Large buckets are cut into
+   tiles. No pair of a bucket that could link two components is skipped, so no link
+   between components is lost to the shortcut of step 2.
 4. Components of the confirmed links, by rounds of stars in shared tables.
 
 With 40 bands of 6 values, two sets at the threshold of 0.8 share no band with a
 chance of 5e-6; the test on the sketch of MinHash values then fails by chance for
 2e-8 (it lets pass what is estimated at 0.6 or more). The test on the sketch of the
 whole set loses nothing: sets differ in at least as many elements as bits. For sets
-of up to some thousand shingles it lets little through that isn't a link.
+of up to some thousand shingles it lets little through that isn't a link. Sets are
+sets of 64-bit hashes of shingles (two different sets of a and b shingles have one in
+common by chance in a * b of 2^64 cases); equal sets are found by a cryptographic
+digest of 128 bits of the whole sorted set.
 
 Defined results: a null or empty text, or one of white space, has an empty set and
 is linked with nothing; fewer words than a shingle make one shingle; equal rows are
@@ -29,6 +33,8 @@ other id does; an empty table gives no rows. Other columns are passed on.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -38,7 +44,7 @@ from pyspark.sql.window import Window
 
 from actionflow.llm.graph import components
 from actionflow.llm.rawtext import BASE, U, Slice, mix, slices, windows
-from actionflow.llm.scratch import small_broadcast, written
+from actionflow.llm.scratch import hot_keys, number_of, numbered, picked, restored, salted_join, small_broadcast, written
 
 WORDS = 5
 PERCENT = 80
@@ -50,7 +56,7 @@ LEAST_ESTIMATE = 0.6
 SET_BITS = 2048
 SET_LONGS = SET_BITS // 64
 LEADERS = 3  # pairs of a node in step 2; step 3 covers the rest
-SALT_OVER = 1000  # members of a bucket for each of its parts
+TILE = 1000, 20_000  # of a bucket: members outside its largest component, and others, that meet in one place
 
 _seed = np.random.RandomState(20_231)
 _MULTIPLY = (_seed.randint(0, 1 << 31, SAMPLES).astype(np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -68,7 +74,7 @@ def shingle_sets(part: Slice, words: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each document of a slice."""
     start, end = part.words()
     doc = part.doc_of(start)
-    hashes = part.hashes(part.prefix(lower=True), start, end)
+    hashes = part.hashes(start, end, lower=True)
     many = np.bincount(doc, minlength=part.n)
     key, first = windows(hashes, doc, words)
     key_at = np.searchsorted(doc[first], np.arange(part.n + 1))
@@ -136,8 +142,9 @@ def signature(text: Column, words: int) -> Column:
             sets = shingle_sets(part, words)
             size = np.array([len(s) for s in sets])
             sizes.append(size)
-            c1 += [int(mix(s ^ U(0x51ED270B)).sum()) for s in sets]
-            c2 += [int(mix(s + U(0x8F3D91A7)).sum()) for s in sets]
+            names = np.frombuffer(b"".join(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets), np.int64).reshape(-1, 2)
+            c1.append(names[:, 0])
+            c2.append(names[:, 1])
             full = [minhash(s) for s in sets if len(s)]
             if full:
                 samples = np.stack(full)
@@ -150,8 +157,7 @@ def signature(text: Column, words: int) -> Column:
                 parities.append(set_sketches([s for s in sets if len(s)]).ravel())
         size = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
         flat = lambda parts: np.concatenate(parts) if parts else np.zeros(0, np.int64)
-        as_long = lambda values: pa.array(np.array(values, np.uint64).view(np.int64))
-        columns = [pa.array(size.astype(np.int64)), as_long(c1), as_long(c2), _lists(flat(bands), (size > 0) * BANDS), _lists(flat(sketches), (size > 0) * SKETCH_LONGS), _lists(flat(parities), (size > 0) * SET_LONGS)]
+        columns = [pa.array(size.astype(np.int64)), pa.array(flat(c1)), pa.array(flat(c2)), _lists(flat(bands), (size > 0) * BANDS), _lists(flat(sketches), (size > 0) * SKETCH_LONGS), _lists(flat(parities), (size > 0) * SET_LONGS)]
         return pa.StructArray.from_arrays(columns, SIGNATURE.names)
 
     return signed(text)
@@ -180,21 +186,39 @@ def _alike(a: str, b: str, percent: int) -> Column:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full sets are similar enough."""
-    left = sets.select(F.col("node").alias("u"), F.col("own").alias("su"))
+    """The pairs (u, v) whose full sets are similar enough. Nodes of very many pairs are spread."""
+    pairs = written(pairs, "pairs")
+    many = pairs.count()
     right = sets.select(F.col("node").alias("v"), F.col("own").alias("sv"))
-    met = pairs.join(right, "v").join(left, "u")
+    left = sets.select(F.col("node").alias("u"), F.col("own").alias("su"))
+    met = salted_join(salted_join(pairs, right, "v", "u", hot_keys(pairs, "v", many)), left, "u", "v", hot_keys(pairs, "u", many))
     shared = F.size(F.array_intersect("su", "sv"))
     return met.where(100 * shared >= percent * (F.size("su") + F.size("sv") - shared)).select("u", "v")
 
 
-def _signed(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    read = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("id"), F.col(f"`{text}`").alias("text"))
-    rows = read.select("id", F.xxhash64("text").alias("th"), signature(F.col("text"), words).alias("s")).select("id", "th", "s.*")
-    return written(rows, "signatures")
+def _signed(read: DataFrame, words: int) -> DataFrame:
+    """read: id, text."""
+    return written(read.select("id", F.xxhash64("text").alias("th"), signature(F.col("text"), words).alias("s")).select("id", "th", "s.*"), "signatures")
+
+
+def _open_pairs(member: DataFrame, first: DataFrame, slim: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of one bucket in different components that sizes and sketches leave possible."""
+    joined = member.select("bucket", "node").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    sizes = joined.groupBy("bucket", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("bucket").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.max("n").alias("most"), F.sum("n").alias("all")).where("most < all")
+    tiles = [F.ceil(n / size).cast("int").alias(name) for name, n, size in (("few_parts", F.col("all") - F.col("most"), TILE[0]), ("all_parts", F.col("all"), TILE[1]))]
+    open_ = written(joined.join(mixed.select("bucket", "main", *tiles), "bucket").join(slim, "node"), "open")
+    part = lambda name: F.pmod(F.xxhash64("node"), F.col(name)).cast("int")
+    each = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    a = open_.where("component != main").withColumn("few", part("few_parts")).withColumn("every", each("all_parts")).alias("a")
+    b = open_.withColumn("every", part("all_parts")).withColumn("few", each("few_parts")).alias("b")
+    on = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("bucket", "few", "every")]
+    once = (F.col("b.component") == F.col("b.main")) | (F.col("a.node") < F.col("b.node"))
+    met = b.join(a, on[0] & on[1] & on[2] & (F.col("a.component") != F.col("b.component")) & once & _alike("a", "b", percent))
+    return met.select(F.least("a.node", "b.node").alias("u"), F.greatest("a.node", "b.node").alias("v")).distinct()
 
 
-def _groups(docs: DataFrame, rows: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
+def _groups(read: DataFrame, rows: DataFrame, words: int, percent: int) -> DataFrame:
     """For every set that more than one row or a link has: c1, c2 and the group's first row (id, th)."""
     key = F.struct(F.col("id").isNull().alias("no_id"), "id", "th")
     same = rows.where("n > 0").groupBy("c1", "c2").agg(F.min(key).alias("row"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity"))
@@ -208,39 +232,36 @@ def _groups(docs: DataFrame, rows: DataFrame, doc_id: str, text: str, words: int
     busy = member.select("node").distinct()
     slim = written(slim.join(busy, "node"), "sketches", many)
     wanted = nodes.join(busy, "node").select("node", "row.id", "row.th")
-    read = docs.select(F.col(f"`{doc_id}`").cast("bigint").alias("doc"), F.col(f"`{text}`").alias("text")).withColumn("hash", F.xxhash64("text"))
-    met = read.join(small_broadcast(wanted), F.col("doc").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("th")))
+    hashed = read.select(F.col("id").alias("doc"), "text", F.xxhash64("text").alias("hash"))
+    met = hashed.join(small_broadcast(wanted), F.col("doc").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("th")))
     sets = written(met.select("node", full_set(F.col("text"), words).alias("own")), "sets")
     if rows.groupBy("id", "th").count().where("count > 1").limit(1).count():
         sets = sets.dropDuplicates(["node"])
 
-    votes = member.where("node != leader").groupBy("node", "leader").agg(F.count("*").alias("bands"))
-    voted = votes.select(F.col("node").alias("u"), F.col("leader").alias("v"), "bands").join(slim.alias("a"), F.col("u") == F.col("a.node"))
-    voted = voted.join(slim.alias("b"), (F.col("v") == F.col("b.node")) & _alike("a", "b", percent)).select("u", "v", "bands")
+    votes = written(member.where("node != leader").groupBy("node", "leader").agg(F.count("*").alias("bands")).select(F.col("node").alias("u"), F.col("leader").alias("v"), "bands"), "votes")
+    mine, theirs = slim.select("node", F.struct(*slim.columns).alias("a")), slim.select("node", F.struct(*slim.columns).alias("b"))
+    voted = votes.join(mine.withColumnRenamed("node", "u"), "u")
+    voted = salted_join(voted, theirs.withColumnRenamed("node", "v"), "v", "u", hot_keys(votes, "v", votes.count())).where(_alike("a", "b", percent)).select("u", "v", "bands")
     best = Window.partitionBy("u").orderBy(F.desc("bands"), "v")
     near = voted.withColumn("k", F.row_number().over(best)).where(F.col("k") <= LEADERS).select("u", "v")
     first = components(_confirmed(near, sets, percent))
 
-    joined = member.select("bucket", "node", "many").join(first, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    mixed = joined.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("bucket")
-    open_ = written(joined.join(mixed, "bucket").join(slim, "node").withColumn("parts", F.ceil(F.col("many") / SALT_OVER).cast("int")), "open")
-    a = open_.withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).alias("a")
-    b = open_.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).alias("b")
-    on = (F.col("a.bucket") == F.col("b.bucket")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.node") < F.col("b.node")) & (F.col("a.component") != F.col("b.component"))
-    rest = a.join(b, on & _alike("a", "b", percent)).select(F.col("a.node").alias("u"), F.col("b.node").alias("v")).distinct()
+    rest = _open_pairs(member, first, slim, percent)
     links = first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(_confirmed(rest, sets, percent))
     final = components(links)
 
     known = nodes.select("node", "c1", "c2", "row", "rows").join(final, "node", "left").where("rows > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
     known = written(known, "known", many)
     firsts = known.groupBy("component").agg(F.min("row").alias("first"))
-    return known.join(firsts, "component").select("c1", "c2", F.col("first.id").alias("first_id"), F.col("first.th").alias("first_th"))
+    met = salted_join(known, firsts, "component", "node", hot_keys(known, "component", many))
+    return met.select("c1", "c2", F.col("first.id").alias("first_id"), F.col("first.th").alias("first_th"))
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id (the least id of the group) and kept (its row has that id)."""
-    rows = _signed(docs, doc_id, text, words)
-    groups = _groups(docs, rows, doc_id, text, words, percent).withColumnsRenamed({"c1": "g1", "c2": "g2"})
+    read = picked(docs, id=doc_id, text=text).withColumn("id", F.col("id").cast("bigint"))
+    rows = _signed(read, words)
+    groups = _groups(read, rows, words, percent).withColumnsRenamed({"c1": "g1", "c2": "g2"})
     met = rows.join(groups, (F.col("c1") == F.col("g1")) & (F.col("c2") == F.col("g2")) & (F.col("n") > 0), "left")
     component = F.when(F.col("g1").isNull(), F.col("id")).otherwise(F.col("first_id"))
     return met.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("id").eqNullSafe(component).alias("kept"))
@@ -251,18 +272,20 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words:
 
     Documents with an empty set are in no group and stay.
     """
-    rows = _signed(docs, doc_id, text, words)
-    groups = _groups(docs, rows, doc_id, text, words, percent).withColumnsRenamed({"c1": "g1", "c2": "g2"})
+    read = picked(docs, id=doc_id, text=text).withColumn("id", F.col("id").cast("bigint"))
+    rows = _signed(read, words)
+    groups = _groups(read, rows, words, percent).withColumnsRenamed({"c1": "g1", "c2": "g2"})
     met = rows.join(groups, (F.col("c1") == F.col("g1")) & (F.col("c2") == F.col("g2")) & (F.col("n") > 0))
-    gone = met.where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th")))).select(F.col("id").alias("__nd_id"), F.col("th").alias("__nd_th")).distinct()
+    gone = met.where(~(F.col("id").eqNullSafe(F.col("first_id")) & (F.col("th") == F.col("first_th")))).select("id", "th").distinct()
     gone = written(gone, "gone", rows.count())
-    c = lambda name: F.col(f"`{name}`")
-    hashed = docs.withColumn("__nd_hash", F.xxhash64(c(text)))
-    on = c(doc_id).cast("bigint").eqNullSafe(F.col("__nd_id")) & (F.col("__nd_hash") == F.col("__nd_th"))
+    flat = numbered(docs)
+    hashed = flat.withColumns({"own": F.col(number_of(docs, doc_id)).cast("bigint"), "hash": F.xxhash64(number_of(docs, text))})
+    on = F.col("own").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("th"))
     left = hashed.join(small_broadcast(gone), on, "left_anti")
-    twice = rows.where("n > 0").groupBy("id", "th").agg(F.count("*").alias("many")).where("many > 1").select(F.col("id").alias("__nd_id"), F.col("th").alias("__nd_th"))
+    twice = rows.where("n > 0").groupBy("id", "th").agg(F.count("*").alias("many")).where("many > 1").select("id", "th")
     twice = written(twice, "twice", rows.count())
     if twice.limit(1).count():  # rows alike in id and text: one of each stays
         again = hashed.join(small_broadcast(twice), on, "left_semi").join(small_broadcast(gone), on, "left_anti")
-        left = left.join(small_broadcast(twice), on, "left_anti").unionByName(again.groupBy(c(doc_id).alias("__nd_id"), "__nd_hash").agg(F.first(F.struct(*[c(n) for n in docs.columns])).alias("__nd_row")).select("__nd_row.*", "__nd_hash"))
-    return left.select(*[c(name) for name in docs.columns])
+        one = again.groupBy("own", "hash").agg(F.first(F.struct(*flat.columns)).alias("row")).select("row.*", "own", "hash")
+        left = left.join(small_broadcast(twice), on, "left_anti").unionByName(one)
+    return restored(left, docs)

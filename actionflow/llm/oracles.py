@@ -14,33 +14,35 @@ WITH d AS MATERIALIZED (
 ), cov AS (
   SELECT rid, count(DISTINCT i + k) AS n FROM rep, (SELECT unnest(range(0, 5)) AS k) GROUP BY rid
 ), ln AS (
-  SELECT rid, count(*) - count(DISTINCT l) AS n
+  SELECT rid, count(*) - count(DISTINCT l) AS n, count(*) AS lines
   FROM (SELECT rid, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY rid
 ), c AS (
   SELECT w.rid, doc_id, source, CAST(len(ws) AS BIGINT) AS n_words,
     CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
     CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
-    CAST(coalesce(ln.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
+    CAST(coalesce(ln.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(ln.lines, 0) AS BIGINT) AS n_lines
   FROM w LEFT JOIN ln USING (rid) LEFT JOIN cov USING (rid)
 ), f AS (
-  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, 100 * n_symbols > 20 * word_chars AS symbols FROM c
+  SELECT *, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, 100 * n_symbols > 20 * word_chars AS symbols,
+    100 * n_dup_lines > 30 * n_lines AS lines, word_chars < 2 * n_words OR word_chars > 15 * n_words AS word_length FROM c
+), j AS (
+  SELECT source, unnest(['base', 'symbols', 'lines', 'word_length']) AS rule, unnest([base_failed, symbols, lines, word_length])::INT::DOUBLE AS failed FROM f
 ), h AS (
-  SELECT source, count(*) AS n, sum(base_failed::INT)::DOUBLE AS b, sum(symbols::INT)::DOUBLE AS s FROM f GROUP BY source
-), t AS (
-  SELECT count(*) AS hosts, sum(n)::DOUBLE AS n, sum(b) AS b, sum(s) AS s, sum(b * b / n) AS bq, sum(s * s / n) AS sq FROM h
+  SELECT source, rule, count(*) AS n, sum(failed) AS x FROM j GROUP BY source, rule
 ), v AS (
-  SELECT hosts, n, b / n AS bm, s / n AS sm,
-    (bq - b * b / n - (hosts - 1) * (b / n) * (1 - b / n)) / n AS bv, (sq - s * s / n - (hosts - 1) * (s / n) * (1 - s / n)) / n AS sv FROM t
-), p AS (
-  SELECT bm, sm, CASE WHEN bv > 0 THEN least(greatest(bm * (1 - bm) / bv - 1, 1), 1e6) ELSE 1e6 END AS bk,
-    CASE WHEN sv > 0 THEN least(greatest(sm * (1 - sm) / sv - 1, 1), 1e6) ELSE 1e6 END AS sk FROM v
+  SELECT rule, sum(x) / sum(n) AS m, (sum(x * x / n) - sum(x) * sum(x) / sum(n) - (count(*) - 1) * (sum(x) / sum(n)) * (1 - sum(x) / sum(n))) / sum(n) AS between_hosts FROM h GROUP BY rule
+), k AS (
+  SELECT rule, m, CASE WHEN between_hosts > 0 THEN least(greatest(m * (1 - m) / between_hosts - 1, 1), 1e6) ELSE 1e6 END AS k FROM v
 ), r AS (
-  SELECT source, (b + bm * bk) / (n + bk) AS br, (s + sm * sk) / (n + sk) AS sr FROM h, p
+  SELECT source, rule, n, m, k, (x + m * k) / (n + k) AS rate FROM h JOIN k USING (rule)
+), s AS (
+  SELECT source, bool_or(rate - 2 * sqrt(rate * (1 - rate) / (n + k + 1)) > greatest(0.25, least(0.9, 2 * m))) AS rejected,
+    max(rate) FILTER (WHERE rule = 'base') AS a, max(rate) FILTER (WHERE rule = 'symbols') AS b, max(rate) FILTER (WHERE rule = 'lines') AS c, max(rate) FILTER (WHERE rule = 'word_length') AS d
+  FROM r GROUP BY source
 )
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND NOT greatest(br, sr) > 0.5 AS kept,
-  f.source AS host, round(br, 6) AS host_base_rate, round(sr, 6) AS host_symbols_rate
-FROM f JOIN r ON f.source IS NOT DISTINCT FROM r.source
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, NOT base_failed AND NOT rejected AS kept,
+  f.source AS host, round(a, 6) AS host_base_rate, round(b, 6) AS host_symbols_rate, round(c, 6) AS host_lines_rate, round(d, 6) AS host_word_length_rate
+FROM f JOIN s ON f.source IS NOT DISTINCT FROM s.source
 """
 
 OP7 = """
@@ -78,6 +80,27 @@ SELECT doc_id, CAST(many AS BIGINT) AS n_sentences, replace(ids, '  ', ' ') AS s
 """
 
 
+# Pairs that share a shingle, counted; then what can be reached from each document.
+OP8 = r"""
+WITH RECURSIVE d AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS MATERIALIZED (
+  SELECT DISTINCT rid, g FROM (
+    SELECT rid, unnest(CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')] ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS g FROM d)
+), n AS MATERIALIZED (
+  SELECT rid, count(*) AS n FROM s GROUP BY rid
+), p AS (
+  SELECT a.rid AS u, b.rid AS v, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.rid <> b.rid GROUP BY a.rid, b.rid
+), e AS MATERIALIZED (
+  SELECT u, v FROM p JOIN n x ON x.rid = u JOIN n y ON y.rid = v WHERE 100 * shared >= 80 * (x.n + y.n - shared)
+), r(a, b) AS (
+  SELECT rid, rid FROM d UNION SELECT r.a, e.v FROM r JOIN e ON r.b = e.u
+), c AS (
+  SELECT a AS rid, min(doc_id) AS component_id FROM r JOIN d ON d.rid = b GROUP BY a
+)
+SELECT doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM d JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""
+
 OP1 = """
 WITH c AS (SELECT DISTINCT vec_id, list_transform(embedding[1:64], lambda x: x >= 0) AS s FROM embeddings
   WHERE vec_id IS NOT NULL AND len(embedding) >= 64 AND len(list_filter(embedding[1:64], lambda x: x IS NULL)) = 0),
@@ -87,4 +110,4 @@ SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY distance, nei
 QUALIFY rank <= 10
 """
 
-ORACLES = {"op1_hamming_top_k": OP1, "op3_license_scan": _op3(), "op7_warc_chunks": OP7, "op10_quality_rules": OP10}
+ORACLES = {"op1_hamming_top_k": OP1, "op3_license_scan": _op3(), "op7_warc_chunks": OP7, "op8_minhash_near_duplicates": OP8, "op10_quality_rules": OP10}

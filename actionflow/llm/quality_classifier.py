@@ -1,23 +1,25 @@
 """Quality classifier with hierarchical empirical Bayes over sites.
 
 A logistic model on features of the whole text gives each document a probability
-of being good. Sites are a hierarchy: hosts, and paths within hosts. Summing the
-probabilities of a host's documents (a grouped aggregation) gives its expected
-number of good ones; the host's rate is shrunk towards the rate of all documents,
-and each path's rate towards its host's, by beta priors whose strengths are
-fitted to the spread between hosts and between paths. Sparse sites thus stay near
-the level above. A document's verdict is its own log odds, moved by how far its
-path's log odds are from those of all documents.
+of being good. Sites are a hierarchy: hosts, and paths within hosts. A document
+counts for its site with its label where it has one, else with its probability;
+a grouped aggregation gives each site's number of good documents. The host's rate is
+shrunk towards the rate of all documents, and each path's rate towards its host's, by
+beta priors whose strengths are fitted to the spread between hosts and between paths.
+Sparse sites thus stay near the level above. A document's verdict is its own log
+odds, moved by how far its path's log odds are from those of all documents.
 
 The model is fitted on the driver on at most ``MOST_TRAINING_ROWS`` labelled
 documents (those with the smallest hashes of their ids); only their features, a
-row of numbers each, are collected. Scores, sums and verdicts cover all documents.
-
-Defined results: a null or empty text has no evidence of its own and is rejected
-(there is nothing in it); null hosts or paths are sites of their own; equal rows
-are scored alike; an empty table gives no rows; without both kinds of labels every
-document with text gets the prior rate of the labels. Columns besides those named
-are passed on, whatever their names.
+row of numbers each, are collected. Scores, sums, labels in the sums and verdicts
+cover all documents.
+
+Defined results: a null or empty text has no evidence of its own, doesn't count for
+its site and is rejected (there is nothing in it); null hosts or paths are sites of
+their own; equal rows are scored alike; of several labels of an id the best counts; an
+empty table gives no rows; without both kinds of labels the model gives every document
+with text the prior rate of the labels. Columns besides those named are passed on,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from actionflow.llm.rawtext import slices, windows
-from actionflow.llm.scratch import small_broadcast, written
+from actionflow.llm.scratch import number_of, numbered, picked, restored, small_broadcast, written
 
 MOST_TRAINING_ROWS = 20_000
 THRESHOLD = 0.5
@@ -77,8 +79,7 @@ def features_of(part) -> np.ndarray:
     """A row for each document of a slice."""
     start, end = part.words()
     doc = part.doc_of(start)
-    prefix = part.prefix(lower=True)
-    hashes = part.hashes(prefix, start, end)
+    hashes = part.hashes(start, end, lower=True)
     size = np.maximum(np.diff(part.at), 1)
     words = np.bincount(doc, minlength=part.n)
     some = np.maximum(words, 1)
@@ -90,7 +91,7 @@ def features_of(part) -> np.ndarray:
     lines = np.maximum(np.bincount(line_doc, minlength=part.n), 1)
     window, first = windows(hashes, doc, 3)
     again, all_windows = _repeats(window, doc[first], part.n)
-    line_again, _ = _repeats(part.hashes(prefix, line, line_end), line_doc, part.n)
+    line_again, _ = _repeats(part.hashes(line, line_end, lower=True), line_doc, part.n)
     word_again, _ = _repeats(hashes, doc, part.n)
     ends = _FLAGS["symbol"][part.data[np.maximum(end - 1, 0)]] if len(end) else np.zeros(0, bool)
     found = {
@@ -149,7 +150,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING_
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
     def features(text: pa.Array) -> pa.Array:
-        return pa.array(list(_all_features(text)[0]), pa.list_(pa.float64()))
+        x = _all_features(text)[0]
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * len(FEATURES)), pa.array(x.ravel()))
 
     chosen = labels.where("id IS NOT NULL AND good IS NOT NULL").groupBy("id").agg(F.max("good").alias("good"))
     chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(most)
@@ -194,6 +196,13 @@ def _strength(good: float, n: float, squares: float, groups: int, degrees: int,
     return min(max(noise / between - 1, WEAKEST), STRONGEST) if between > 0 else STRONGEST
 
 
+def labelled(scored: DataFrame, labels: DataFrame) -> DataFrame:
+    """host, path, p of documents with evidence: their label where they have one, else the model's probability. scored: id, host, path, odds."""
+    said = labels.where("id IS NOT NULL AND good IS NOT NULL").groupBy(F.col("id").alias("label_id")).agg(F.max("good").alias("good"))
+    met = scored.where("odds IS NOT NULL").join(small_broadcast(said), F.col("id") == F.col("label_id"), "left")
+    return met.select("host", "path", F.coalesce(F.col("good").cast("double"), _sigmoid(F.col("odds"))).alias("p"))
+
+
 def site_posteriors(scored: DataFrame) -> tuple[DataFrame, float]:
     """(host, path, p_host, p_path) for every site, and the rate of all documents.
 
@@ -220,8 +229,8 @@ def report(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINING_ROWS) -
     """A narrow row for each document. docs: id, text, host, path; labels: id, good."""
     model = fit(docs.select("id", "text"), labels, most)
     scored = written(docs.select("id", "host", "path", evidence(model, F.col("text")).alias("odds")), "evidence")
-    sites, mean = site_posteriors(scored.select("host", "path", _sigmoid(F.col("odds")).alias("p")))
-    sites = sites.withColumnRenamed("host", "own_host").withColumnRenamed("path", "own_path")
+    sites, mean = site_posteriors(labelled(scored, labels))
+    sites = small_broadcast(written(sites.withColumnsRenamed({"host": "own_host", "path": "own_path"}), "posteriors"))
     met = scored.join(sites, F.col("host").eqNullSafe(F.col("own_host")) & F.col("path").eqNullSafe(F.col("own_path")), "left")
     met = met.withColumn("score", F.coalesce(_combined(F.col("odds"), F.col("p_path"), mean), F.lit(0.0)))
     return met.select("id", "host", "path", F.round(_sigmoid(F.col("odds")), 6).alias("p_document"), F.round("p_host", 6).alias("p_host"), F.round("p_path", 6).alias("p_path"), F.round("score", 6).alias("score"), (F.col("score") >= THRESHOLD).alias("kept"))
@@ -233,10 +242,10 @@ def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text:
     The texts are gone through once for the sums by site and once for the documents,
     so that none is shuffled: a document then needs only its site's row.
     """
-    c = lambda name: F.col(f"`{name}`")
-    model = fit(docs.select(c(doc_id).alias("id"), c(text).alias("text")), labels, most)
-    scored = docs.select(c(host).alias("host"), c(path).alias("path"), _sigmoid(evidence(model, c(text))).alias("p"))
-    sites, mean = site_posteriors(scored)
-    sites = sites.select(F.col("host").alias("__qc_host"), F.col("path").alias("__qc_path"), F.col("p_path").alias("__qc_p"))
-    met = docs.withColumn("__qc_odds", evidence(model, c(text))).join(small_broadcast(sites), c(host).eqNullSafe(F.col("__qc_host")) & c(path).eqNullSafe(F.col("__qc_path")), "left")
-    return met.where(F.coalesce(_combined(F.col("__qc_odds"), F.col("__qc_p"), mean), F.lit(0.0)) >= THRESHOLD).select(*[c(name) for name in docs.columns])
+    read = picked(docs, id=doc_id, text=text, host=host, path=path)
+    model = fit(read.select("id", "text"), labels, most)
+    sites, mean = site_posteriors(labelled(read.select("id", "host", "path", evidence(model, F.col("text")).alias("odds")), labels))
+    sites = small_broadcast(written(sites.select("host", "path", "p_path"), "posteriors"))
+    of = lambda name: F.col(number_of(docs, name))
+    met = numbered(docs).withColumn("odds", evidence(model, of(text))).join(sites, of(host).eqNullSafe(F.col("host")) & of(path).eqNullSafe(F.col("path")), "left")
+    return restored(met.where(F.coalesce(_combined(F.col("odds"), F.col("p_path"), mean), F.lit(0.0)) >= THRESHOLD), docs)

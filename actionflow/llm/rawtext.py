@@ -4,14 +4,16 @@ Arrow hands a string column over as one buffer of bytes and one of offsets. The
 functions here find words, lines and word windows in that buffer for many
 documents at once, without making a Python string for each.
 
-A span of bytes is hashed as a polynomial over 64-bit values of its bytes, from
-prefix sums, so that all words (or lines) of a slice take a handful of array
-operations. Equal spans always get equal hashes, in every process.
+A span is hashed eight bytes at a time: each eight, with its place in the span, goes
+through a bijection that spreads every bit, and the sum of those and of the length
+through another. All words (or lines) of a slice take a handful of array operations.
+Equal spans always get equal hashes, in every process. Where a count rests on spans
+being equal, ``classes`` compares the bytes of those with equal hashes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,17 +38,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U(31))
 
 
-BYTE_VALUE = mix(np.arange(1, 257, dtype=np.uint64) * U(0x9E3779B97F4A7C15))
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, np.uint64), "down": np.ones(1, np.uint64)}
-
-
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers["up"]) < n:
-        for name, base in (("up", BASE), ("down", pow(BASE, -1, 1 << 64))):
-            steps = np.full(n, U(base % (1 << 64)), np.uint64)
-            steps[0] = 1
-            _powers[name] = np.multiply.accumulate(steps)
-    return _powers["up"], _powers["down"]
+MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)  # keeps the first k of eight bytes
+LENGTH = U(0xD1342543DE82EF95)
+MOST_EIGHTS = 1 << 18  # of long spans that are worked on at once
 
 
 @dataclass
@@ -58,6 +52,7 @@ class Slice:
 
     def __post_init__(self) -> None:
         self.n = len(self.at) - 1
+        self.held: dict[bool, np.ndarray] = {}
 
     def per_doc(self, flags: np.ndarray) -> np.ndarray:
         """How many bytes of each document are flagged."""
@@ -88,15 +83,76 @@ class Slice:
         breaks = np.flatnonzero(self.data == 10)
         return np.sort(np.concatenate([self.at[:-1][full], breaks + 1])), np.sort(np.concatenate([self.at[1:][full], breaks]))
 
-    def prefix(self, lower: bool = False) -> np.ndarray:
-        up, _ = _power(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[LOWER[self.data] if lower else self.data] * up[: len(self.data)], out=total[1:])
-        return total
-
-    def hashes(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        _, down = _power(len(self.data) + 1)
-        return mix((prefix[end] - prefix[start]) * down[start])
+    def eights(self, lower: bool = False) -> np.ndarray:
+        """The eight bytes from each position on as a number, zeros behind the end."""
+        if lower not in self.held:
+            data = np.zeros(len(self.data) + 16, np.uint8)
+            data[: len(self.data)] = LOWER[self.data] if lower else self.data
+            self.held[lower] = np.ndarray((len(self.data) + 8,), "<u8", data, strides=(1,))
+        return self.held[lower]
+
+    def hashes(self, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
+        """A hash of each span; with ``lower``, A-Z count as a-z."""
+        eights, size = self.eights(lower), end - start
+        total = mix(eights[start] & MASK[np.minimum(size, 8)])
+        for own, at, first in _later_eights(size):
+            x = mix((eights[start[own] + 8 * at] & MASK[np.minimum(size[own] - 8 * at, 8)]) ^ mix(at.astype(np.uint64)))
+            total[own[first]] += np.add.reduceat(x, first)
+        return mix(total + size.astype(np.uint64) * LENGTH)
+
+    def same(self, a: np.ndarray, b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """If spans number a and b (arrays) have the same bytes."""
+        eights, size, x, y = self.eights(), (end - start)[a], start[a], start[b]
+        mask = MASK[np.minimum(size, 8)]
+        out = (size == (end - start)[b]) & ((eights[x] & mask) == (eights[y] & mask))
+        maybe = np.flatnonzero(out)
+        size, x, y = size[maybe], x[maybe], y[maybe]
+        for own, at, _ in _later_eights(size):
+            mask = MASK[np.minimum(size[own] - 8 * at, 8)]
+            out[maybe[own[(eights[x[own] + 8 * at] & mask) != (eights[y[own] + 8 * at] & mask)]]] = False
+        return out
+
+
+def _later_eights(size: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The eights of spans of ``size`` bytes without each one's first, a bounded number at a time.
+
+    The span of each, its number in the span, and where a new span starts among them.
+    """
+    long = np.flatnonzero(size > 8)
+    ends = np.cumsum((size[long] - 1) >> 3)
+    for low in range(0, int(ends[-1]) if len(ends) else 0, MOST_EIGHTS):
+        flat = np.arange(low, min(low + MOST_EIGHTS, int(ends[-1])))
+        k = np.searchsorted(ends, flat, "right")
+        before = np.where(k > 0, ends[k - 1], 0)
+        first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
+        yield long[k], flat - before + 1, first
+
+
+def classes(key: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """A number for each item, equal where ``same`` says that two are, and only there.
+
+    Equal items have equal keys. Items with equal keys are compared with their
+    neighbours in sorted order; only where those differ one by one.
+    """
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(key), bool)
+    new[1:] = key[order[1:]] != key[order[:-1]]
+    number = np.empty(len(key), np.int64)
+    number[order] = np.cumsum(new) - 1
+    again = np.flatnonzero(~new)
+    wrong = again[~same(order[again - 1], order[again])] if len(again) else again
+    fresh = len(key)
+    for run in np.unique(number[order[wrong]]):
+        known: list[int] = []
+        for i in np.flatnonzero(number == run):
+            one = np.array([i])
+            met = next((k for k in known if same(np.array([k]), one)[0]), None)
+            if met is None:
+                known.append(int(i))
+                number[i], fresh = fresh, fresh + 1
+            else:
+                number[i] = number[met]
+    return np.unique(number, return_inverse=True)[1] if len(wrong) else number
 
 
 def slices(column: pa.Array | pa.ChunkedArray, most: int = SLICE_BYTES) -> Iterator[Slice]:

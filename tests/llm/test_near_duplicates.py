@@ -2,6 +2,8 @@ import random
 import re
 
 import pytest
+from actionflow.llm import near_duplicates as nd
+from actionflow.llm import scratch
 from actionflow.llm.graph import components
 from actionflow.llm.near_duplicates import keep_one, near_duplicates
 
@@ -80,7 +82,58 @@ def test_keep_one(spark):
     assert near_duplicates(df.limit(0)).collect() == []
 
 
-def test_components(spark):
+def test_columns_of_any_name(spark):
+    """Also names that differ from ours in case only, or that the operator uses inside."""
+    t = " ".join(f"a{i}" for i in range(60))
+    df = spark.createDataFrame([(1, t, "x", 1), (2, t, "y", 2)], "doc_id int, text string, Text string, hash int")
+    out = keep_one(df)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(1, t, "x", 1)]
+
+
+def test_very_long_texts_and_many_copies(spark):
+    r = random.Random(9)
+    base = [f"w{r.randrange(30_000)}" for _ in range(150_000)]
+    other = list(base)
+    other[5] = "other"
+    rows = [(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(base[:100_000]))] + [(10 + i, "the same words in every row of it") for i in range(3000)]
+    got = {x.doc_id: x.component_id for x in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: 1, 2: 1, 3: 3} | {10 + i: 10 for i in range(3000)}
+
+
+def test_salted_join_and_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "HOT_ROWS", 10)
+    rows = spark.createDataFrame([(1, i) for i in range(95)] + [(2, 5), (3, 6)], "k bigint, x bigint")
+    facts = spark.createDataFrame([(1, "a"), (2, "b"), (4, "c")], "k bigint, name string")
+    hot = scratch.hot_keys(rows, "k", 97)
+    assert [tuple(r) for r in hot.collect()] == [(1, 10)]
+    assert sorted(map(tuple, scratch.salted_join(rows, facts, "k", "x", hot).select("k", "x", "name").collect())) == [(1, i, "a") for i in range(95)] + [(2, 5, "b")]
+
+
+def test_mixed_buckets_in_tiles(spark, monkeypatch):
+    """Sets that share buckets but few links: every pair is tested, however the bucket is cut."""
+    monkeypatch.setattr(nd, "TILE", (3, 5))
+    r = random.Random(4)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for _ in range(r.choice([4, 8, 12])):
+            w[r.randrange(300)] = f"x{r.randrange(5)}"
+        rows.append((i, " ".join(w)))
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert sorted(map(tuple, got)) == sorted((*x, x[0] == x[2]) for x in brute(rows, 5))
+
+
+def test_recall_against_all_pairs(spark):
+    """On a table of the driver's: the groups are those of brute force, none is missed."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [(x.doc_id, x.text) for x in docs.select("doc_id", "text").collect()]
+    got = sorted((x.doc_id, x.component_id) for x in near_duplicates(docs, words=4).collect())
+    assert got == sorted((d, c) for d, _, c in brute(rows, 4))
+
+
+def test_components(spark, monkeypatch):
+    monkeypatch.setattr(scratch, "HOT_ROWS", 20)
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 50)] + [(-5, 1049), (7, 7)]
     got = dict(map(tuple, components(spark.createDataFrame(edges, "u bigint, v bigint")).collect()))
     assert got == {i: 0 for i in range(201)} | {i: -5 for i in range(1000, 1050)} | {-5: -5}

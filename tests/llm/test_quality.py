@@ -1,9 +1,11 @@
+import math
 import re
 from collections import Counter
 
 import pytest
 from actionflow.llm import quality_classifier as qc
 from actionflow.llm import quality_rules as qr
+from pyspark.sql import functions as F
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 ODD = [
@@ -43,6 +45,34 @@ def test_bad_host_goes_and_sparse_host_is_shrunk(spark):
     assert qr.keep_good(df.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("rule, text", [
+    ("symbols", " ".join(f"w{i} ## $$" for i in range(15))), ("lines", "\n".join(f"line {i % 4} of it" for i in range(24))), ("word_length", " ".join(f"{'abcdefghijklmnopqrstuvwxyz' * 2}{i}" for i in range(20))),
+])
+def test_each_rule_speaks_of_hosts(spark, rule, text):
+    """Documents that pass the base rule go with their host if it fails another rule too often; elsewhere they stay."""
+    good = " ".join(f"w{i}" for i in range(30))
+    rows = [(i, good, f"h{i % 10}") for i in range(300)] + [(1000 + i, text, "bad") for i in range(40)] + [(1100, good, "bad"), (1200, text, "h1"), (1300, text, "single")]
+    got = {r.doc_id: r for r in qr.report(spark.createDataFrame(rows, "doc_id int, text string, source string")).collect()}
+    if rule == "lines":  # repeated lines of it fail the base rule as well
+        assert got[1000].base_failed and not got[1100].base_failed and not got[1100].kept
+    else:
+        assert not got[1000].base_failed and not got[1000].kept and not got[1100].kept and got[1200].kept
+    assert got[0].kept and got[1]["host_" + rule + "_rate"] < 0.25 < got[1000]["host_" + rule + "_rate"]
+    if rule != "lines":
+        assert got[1300].kept and got[1300]["host_" + rule + "_rate"] < 1
+
+
+def test_columns_of_any_name(spark):
+    good = " ".join(f"w{i}" for i in range(30))
+    df = spark.createDataFrame([(1, good, "h", "T", 5, 6), (2, "short", "h", "T", 5, 6)], "doc_id int, text string, source string, Text string, counts int, odds int")
+    out = qr.keep_good(df)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(1, good, "h", "T", 5, 6)]
+    named = df.withColumn("lang", F.lit("en")).withColumn("p_path", F.lit(3))
+    labels = spark.createDataFrame([(1, 1), (2, 0)], "id int, good int")
+    out = qc.keep_good(named, labels)
+    assert out.columns == named.columns and {r.doc_id for r in out.collect()} <= {1, 2}
+
+
 def junk(i):
     return " ".join(f"{'xyzw'[(i + k) % 4]}{k * i}###" for k in range(20 + i % 30))
 
@@ -77,6 +107,59 @@ def test_sparse_sites_shrink(spark):
     assert 0.2 < got["a", "y"].p_path < got["a", "y"].p_host
 
 
+def brute_sites(rows, labels):
+    """Posteriors by plain Python. rows: (id, host, path, odds or None)."""
+    p = [(h, q, labels.get(i, 1 / (1 + math.exp(-o)))) for i, h, q, o in rows if o is not None]
+    paths, hosts = {}, {}
+    for h, q, x in p:
+        for table, key in ((paths, (h, q)), (hosts, h)):
+            n, s = table.get(key, (0, 0.0))
+            table[key] = (n + 1, s + x)
+    n, mean = len(p), sum(x for *_, x in p) / len(p)
+
+    def strength(spread, degrees):
+        between = (spread - degrees * mean * (1 - mean)) / n
+        return min(max(mean * (1 - mean) / between - 1, qc.WEAKEST), qc.STRONGEST) if between > 0 else qc.STRONGEST
+
+    a = strength(sum(m * (s / m - mean) ** 2 for m, s in hosts.values()), len(hosts) - 1)
+    b = strength(sum(m * (s / m - hosts[h][1] / hosts[h][0]) ** 2 for (h, _), (m, s) in paths.items()), len(paths) - len(hosts))
+    p_host = {h: (s + mean * a) / (m + a) for h, (m, s) in hosts.items()}
+    return p_host, {(h, q): (s + p_host[h] * b) / (m + b) for (h, q), (m, s) in paths.items()}, mean
+
+
+def test_sites_turn_verdicts_as_their_posteriors_say(spark):
+    """Texts of one kind, told apart by their sites alone; each level turns verdicts, as recomputed by hand."""
+    rows, labels = [], {}
+    for host, path, good, many in [("up", "x", 0.95, 120), ("up", "y", 0.95, 80), ("down", "x", 0.05, 120), ("down", "z", 0.1, 60), ("split", "a", 0.97, 100), ("split", "b", 0.03, 100), (None, None, 0.5, 5), ("new", "x", 0.0, 2)]:
+        for k in range(many):
+            i = len(rows)
+            rows.append((i, prose(k), host, path))
+            if k % 2 == 0:
+                labels[i] = int(k / many < good)
+    docs = spark.createDataFrame(rows, "id int, text string, host string, path string")
+    said = spark.createDataFrame(list(labels.items()), "id int, good int")
+    got = {r.id: r for r in qc.report(docs, said).collect()}
+    odds = dict(map(tuple, docs.select("id", qc.evidence(qc.fit(docs, said), F.col("text"))).collect()))
+    p_host, p_path, mean = brute_sites([(i, h, q, odds[i]) for i, _, h, q in rows], labels)
+    logit = lambda x: math.log(x / (1 - x))
+    by_host = 0
+    for i, _, h, q in rows:
+        score = 1 / (1 + math.exp(-(odds[i] + logit(p_path[h, q]) - logit(mean))))
+        assert got[i].p_host == pytest.approx(p_host[h], abs=2e-6) and got[i].p_path == pytest.approx(p_path[h, q], abs=2e-6)
+        assert got[i].score == pytest.approx(score, abs=2e-6) and (got[i].kept == (score >= 0.5) or abs(score - 0.5) < 1e-6)
+        by_host += h in ("up", "down") and got[i].kept != (odds[i] >= 0)
+    assert by_host  # the host level turns verdicts of the text
+    share = lambda h, q: sum(got[i].kept for i, _, a, b in rows if (a, b) == (h, q)) / sum((a, b) == (h, q) for _, _, a, b in rows)
+    assert share("up", "x") > 0.9 and share("down", "x") < 0.1
+    assert share("split", "a") > 0.9 and share("split", "b") < 0.1  # one host, told apart by path
+
+
+def test_very_long_text(spark):
+    rows = [(1, "the cat sat. " * 200_000, "h", "p"), (2, "#$%" * 500_000, "h", "p")] + [(i, prose(i), "h", "p") for i in range(3, 30)]
+    labels = spark.createDataFrame([(2, 0)] + [(i, 1) for i in range(3, 30)], "id int, good int")
+    assert qc.report(spark.createDataFrame(rows, "id int, text string, host string, path string"), labels).count() == 29
+
+
 def test_held_out_accuracy(spark):
     base = "/root/testdata/sf0.01"
     docs = spark.read.parquet(f"{base}/documents.parquet").selectExpr("doc_id AS id", "text", "source AS host", "lang AS path")
