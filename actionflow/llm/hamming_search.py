@@ -9,11 +9,19 @@ radius, its distance would be over t). Codes met are verified by their whole dis
 search of a query ends when its k-th best verified distance is at most t: no code
 that it hasn't met can be nearer or as near.
 
-Codes are dealt by hash into blocks of about ``INDEX_ROWS``, queries into blocks of
-``QUERY_ROWS``; a task searches one block for one block of queries and gives k rows for
-each query. The best k of those are the result. Of equal codes only the k + 1 with the least ids
-are indexed (more can't be among the nearest k other than the query itself), found by
-a rank that Spark limits before its shuffle, so a code of a third of all rows is a few rows.
+Codes are cut by value into blocks of about ``INDEX_ROWS``; a task indexes one block
+once and streams its queries past it. A query goes to the block its own code falls in
+first. The k-th distance found there bounds what can still be wanted, so it then goes
+only to blocks whose codes begin with bits that differ from its own in no more
+places, and a search there ends at that bound. The best k of all are the result.
+Codes are shuffled once; besides them only queries travel, once for each block that
+may hold something for them.
+
+Of equal codes only the k + 1 with the least ids are indexed (more can't be among the
+nearest k other than the query itself), found by a rank that Spark limits before its
+shuffle, so a code of a third of all rows is a few rows. Queries equal in code are
+one search for k + 1, from which each takes those that aren't its own; ids with several
+codes are searched for one by one.
 
 Ties in distance go to the smaller id. Defined results: rows whose code or id is null
 aren't indexed and don't search; rows equal in id and code are one; a query doesn't
@@ -23,20 +31,21 @@ find its own id; with fewer than k other codes all are found; an empty table giv
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from actionflow.llm.scratch import written
+from actionflow.llm.scratch import picked, written
 
 BITS = 64
-INDEX_ROWS = 1 << 18
-QUERY_ROWS = 256
+INDEX_ROWS = 1 << 20
+LEAST_ROWS = 1 << 12  # of a block, where more blocks would only keep more tasks busy
 MOST_SEGMENT_BITS = 16
 
 
@@ -78,13 +87,14 @@ class Index:
     def segment(codes: np.ndarray, shift: int, width: int) -> np.ndarray:
         return ((codes >> np.uint64(shift)) & np.uint64((1 << width) - 1)).astype(np.int64)
 
-    def search(self, code: int, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Distances and ids of the nearest k codes of other ids, ties to the smaller id."""
+    def search(self, code: int, own: int | None, k: int, bound: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Distances and ids of the nearest k codes of other ids than ``own``, ties to the smaller id; with a bound those within it."""
+        bound = self.bits if bound is None else bound
         code = np.uint64(code)
         values = [int(self.segment(code, s, w)) for s, w in self.parts]
         found: list[np.ndarray] = []
         tally = np.zeros(self.bits + 1, np.int64)  # verified codes by distance, the query's own id left out
-        for t in range(self.bits + 1):
+        for t in range(bound + 1):
             s, radius = t % self.m, t // self.m
             width = self.parts[s][1]
             if radius <= width:
@@ -97,45 +107,123 @@ class Index:
                 if len(position):
                     self.met[position] = True
                     found.append(position)
-                    others = position[self.ids[position] != own]
+                    others = position if own is None else position[self.ids[position] != own]
                     tally += np.bincount(np.bitwise_count(self.codes[others] ^ code), minlength=self.bits + 1)
             if tally[: t + 1].sum() >= k:  # the k-th best is at most t, and all within t have been met
                 break
         position = np.concatenate(found) if found else np.zeros(0, np.int64)
         self.met[position] = False
-        position = position[self.ids[position] != own]
+        if own is not None:
+            position = position[self.ids[position] != own]
         distance = np.bitwise_count(self.codes[position] ^ code).astype(np.int64)
+        position, distance = position[distance <= bound], distance[distance <= bound]
         best = np.lexsort((self.ids[position], distance))[:k]
         return distance[best], self.ids[position][best]
 
 
-def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS, index_rows: int = INDEX_ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+class Blocks:
+    """The value range of every block, and what a query can find in each."""
+
+    def __init__(self, rows: list) -> None:
+        self.number = np.array([r["block"] for r in rows], np.int64)
+        self.low = np.array([r["low"] for r in rows], np.int64)
+        differ = self.low ^ np.array([r["high"] for r in rows], np.int64)
+        free = np.array([int(x).bit_length() if x >= 0 else 64 for x in differ.tolist()])  # low bits that aren't the same in all codes
+        self.fixed = np.array([(-1 << int(b)) & ((1 << 64) - 1) for b in free], np.uint64)
+
+    def home(self, code: np.ndarray) -> np.ndarray:
+        return np.maximum(np.searchsorted(self.low, code, "right") - 1, 0)
+
+    def near(self, code: int, bound: int) -> np.ndarray:
+        """Places of blocks that may hold a code within the bound."""
+        least = np.bitwise_count((self.low ^ np.int64(code)).view(np.uint64) & self.fixed)
+        return np.flatnonzero(least <= bound)
+
+
+SEARCH = "code bigint, own bigint, want int, bound int"
+FOUND = "code bigint, own bigint, distance int, neighbor_id bigint"
+
+
+def _routed(asked: DataFrame, blocks: Blocks, home: bool) -> DataFrame:
+    """(block, code, own, want, bound): each query once for its home block, or for each other block near enough."""
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            code, bound = np.asarray(batch.column(0)), np.asarray(batch.column(3))
+            at = blocks.home(code)
+            for low in range(0, len(code), 1024):
+                if home:
+                    source, target = np.arange(low, min(low + 1024, len(code))), at[low : low + 1024]
+                else:
+                    each = [(i, places[places != at[i]]) for i in range(low, min(low + 1024, len(code))) for places in [blocks.near(code[i], bound[i])]]
+                    source = np.repeat([i for i, _ in each], [len(p) for _, p in each]).astype(np.int64)
+                    target = np.concatenate([p for _, p in each])
+                if len(source):
+                    yield pa.RecordBatch.from_arrays([pa.array(blocks.number[target]), *batch.take(pa.array(source)).columns], ["block", *batch.schema.names])
+
+    return asked.mapInArrow(route, "block bigint, " + SEARCH)
+
+
+def _searched(codes: DataFrame, routed: DataFrame, blocks: int, bits: int) -> DataFrame:
+    """FOUND: what each block has for the queries that came to it. A block's codes come before its queries in its partition."""
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, index = None, [], None
+        for batch in batches:
+            block, is_query = np.asarray(batch.column(0)), np.asarray(batch.column(1))
+            edges = np.flatnonzero(np.concatenate([[True], (block[1:] != block[:-1]) | (is_query[1:] != is_query[:-1])]))
+            for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(block)], strict=True):
+                part = batch.slice(a, b - a)
+                if block[a] != now:
+                    now, held, index = block[a], [], None
+                code = np.asarray(part.column(2))
+                if not is_query[a]:
+                    held.append((code, np.asarray(part.column(3))))
+                    continue
+                if index is None:
+                    index = Index(np.concatenate([c for c, _ in held]).view(np.uint64), np.concatenate([i for _, i in held]), bits)
+                    held = []
+                own = part.column(3).to_pylist()
+                want, bound = part.column(4).to_pylist(), part.column(5).to_pylist()
+                found = [index.search(c, own[i], want[i], bound[i]) for i, c in enumerate(code.view(np.uint64))]
+                many = [len(d) for d, _ in found]
+                if sum(many):
+                    source = pa.array(np.repeat(np.arange(len(many)), many))
+                    yield pa.RecordBatch.from_arrays([part.column(2).take(source), part.column(3).take(source), pa.array(np.concatenate([d for d, _ in found]).astype(np.int32)), pa.array(np.concatenate([i for _, i in found]))], ["code", "own", "distance", "neighbor_id"])
+
+    rows = codes.select("block", F.lit(False).alias("is_query"), "code", F.col("id").alias("own"), F.lit(0).alias("want"), F.lit(0).alias("bound"))
+    both = rows.unionByName(routed.withColumn("is_query", F.lit(True)))
+    return both.repartition(blocks, "block").sortWithinPartitions("block", "is_query").mapInArrow(search, FOUND)
+
+
+def top_k(rows: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS, index_rows: int = INDEX_ROWS, least_rows: int = LEAST_ROWS) -> DataFrame:
     """query_id, rank (from 1), neighbor_id and distance. rows, queries: id and code (bigint)."""
-    known = rows.where("id IS NOT NULL AND code IS NOT NULL").select(F.col("id").cast("bigint").alias("id"), F.col("code").cast("bigint").alias("code")).distinct()
+    spark = rows.sparkSession
+    typed = lambda df: picked(df, id="id", code="code").where("id IS NOT NULL AND code IS NOT NULL").select(F.col("id").cast("bigint").alias("id"), F.col("code").cast("bigint").alias("code")).distinct()
     place = Window.partitionBy("code").orderBy("id")
-    indexed = written(known.withColumn("place", F.row_number().over(place)).where(F.col("place") <= k + 1).select("id", "code"), "codes")
-    asked = written(queries.where("id IS NOT NULL AND code IS NOT NULL").select(F.col("id").cast("bigint").alias("id"), F.col("code").cast("bigint").alias("code")).distinct(), "queries")
-    blocks = max(1, -(-indexed.count() // index_rows))
-    shares = max(1, -(-asked.count() // query_rows))
-    left = indexed.withColumn("block", F.pmod(F.xxhash64("id", "code"), F.lit(blocks)))
-    right = asked.withColumn("share", F.pmod(F.xxhash64("id", "code"), F.lit(shares)))
-    # a task for each pair of a block and a share: codes go to every share, queries to every block
-    left = left.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1)))) if shares > 1 else left.withColumn("share", F.lit(0))
-    right = right.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) if blocks > 1 else right.withColumn("block", F.lit(0))
-
-    def search(codes: pd.DataFrame, some: pd.DataFrame) -> pd.DataFrame:
-        if not len(codes) or not len(some):
-            return pd.DataFrame({"query_id": [], "query_code": [], "neighbor_id": [], "distance": []}).astype("int64")
-        index = Index(codes["code"].to_numpy().view(np.uint64), codes["id"].to_numpy(), bits)
-        out = []
-        for own, code in zip(some["id"].to_numpy(), some["code"].to_numpy().view(np.uint64), strict=True):
-            distance, ids = index.search(code, own, k)
-            out.append((np.full(len(ids), own), np.full(len(ids), np.uint64(code).view(np.int64)), ids, distance))
-        return pd.DataFrame(dict(zip(("query_id", "query_code", "neighbor_id", "distance"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
-
-    keys = ["block", "share"]
-    typed = lambda df: df.select("id", "code", *[F.col(c).cast("bigint").alias(c) for c in keys])
-    met = typed(left).groupBy(*keys).cogroup(typed(right).groupBy(*keys)).applyInPandas(search, "query_id bigint, query_code bigint, neighbor_id bigint, distance bigint")
-    best = Window.partitionBy("query_id", "query_code").orderBy("distance", "neighbor_id")
-    ranked = met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
-    return ranked.select("query_id", F.col("rank").cast("bigint").alias("rank"), "neighbor_id", "distance")
+    indexed = written(typed(rows).withColumn("place", F.row_number().over(place)).where(F.col("place") <= k + 1).select("id", "code"), "indexed")
+    many = indexed.count()
+    wanted = max(1, -(-many // index_rows), min(spark.sparkContext.defaultParallelism, many // least_rows))
+    codes = written(indexed.repartitionByRange(wanted, "code").withColumn("block", F.spark_partition_id().cast("bigint")), "codes")
+    ranges = codes.groupBy("block").agg(F.min("code").alias("low"), F.max("code").alias("high")).orderBy("low").collect()  # a row for each block
+
+    asked = typed(queries)
+    several = asked.groupBy("id").agg(F.count("*").alias("codes")).where("codes > 1").select(F.col("id").alias("own"))
+    asked = written(asked.join(several, F.col("id") == F.col("own"), "left"), "queries")
+    searches = asked.select("code", "own").distinct().withColumns({"want": F.when(F.col("own").isNull(), k + 1).otherwise(k), "bound": F.lit(bits)})
+    if not ranges:
+        return spark.createDataFrame([], "query_id bigint, rank bigint, neighbor_id bigint, distance bigint")
+    blocks = Blocks(ranges)
+    near = written(_searched(codes, _routed(searches, blocks, True), len(ranges), bits), "found")
+    worst = near.groupBy("code", "own").agg(F.count("*").alias("n"), F.max("distance").alias("worst"))
+    met = searches.drop("bound").alias("s").join(worst.alias("w"), (F.col("s.code") == F.col("w.code")) & F.col("s.own").eqNullSafe(F.col("w.own")), "left")
+    bounded = met.select("s.code", "s.own", "want", F.when(F.col("n") >= F.col("want"), F.col("worst")).otherwise(bits).alias("bound"))
+    found = near.unionByName(_searched(codes, _routed(bounded, blocks, False), len(ranges), bits)) if len(ranges) > 1 else near
+
+    best = Window.partitionBy("code", "own").orderBy("distance", "neighbor_id")
+    top = found.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
+    lists = top.groupBy("code", "own").agg(F.array_sort(F.collect_list(F.struct("distance", "neighbor_id"))).alias("near"))  # k + 1 at most
+    mine = asked.alias("q").join(lists.alias("l"), (F.col("q.code") == F.col("l.code")) & F.col("q.own").eqNullSafe(F.col("l.own")))
+    others = F.slice(F.filter("near", lambda x: x["neighbor_id"] != F.col("id")), 1, k)
+    ranked = mine.select(F.col("q.id").alias("query_id"), F.posexplode(others).alias("n", "x"))
+    return ranked.select("query_id", (F.col("n") + 1).cast("bigint").alias("rank"), "x.neighbor_id", F.col("x.distance").cast("bigint").alias("distance"))

@@ -37,10 +37,10 @@ def test_index_is_exact():
 
 def test_frames(spark):
     rows = codes(3, 900) + [(None, 5), (7000, None), (5, codes(3, 900)[5][1]), (8000, 0), (8000, -1)]
-    df = spark.createDataFrame(rows, "id bigint, code bigint").selectExpr("*", "1 AS block", "2 AS distance")
+    df = spark.createDataFrame(rows, "id bigint, code bigint").selectExpr("*", "1 AS block", "2 AS distance", "'x' AS Code2")
     asked = df.where("id % 50 = 0 OR id IS NULL")
     want = brute(rows, [r for r in rows if r[0] is None or r[0] % 50 == 0], 10)
-    for size in ({}, {"index_rows": 100, "query_rows": 7}):
+    for size in ({}, {"index_rows": 100}, {"index_rows": 7}, {"least_rows": 50}):
         # two codes under one id are two queries
         assert sorted(map(tuple, top_k(df, asked, 10, **size).collect())) == want
     assert top_k(df.limit(0), asked).collect() == [] and top_k(df, asked.limit(0)).collect() == []
