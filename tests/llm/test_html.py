@@ -1,5 +1,6 @@
 import html as references
 import re
+import tracemalloc
 
 from actionflow.llm.html_blocks import leaf_blocks
 from actionflow.llm.html_extraction import extract, labelled_blocks, labelled_pages, main_text, train, trained
@@ -34,6 +35,33 @@ def test_leaf_blocks():
     assert len(text("<div>" * 5000 + "deep" + "<p" + " a='" * 2000)) >= 1
 
 
+def test_what_is_no_markup_of_the_page_and_what_is():
+    text = lambda h: [b.text for b in leaf_blocks(h)]
+    assert text("<p>Energy is <math><mi>E</mi><mo>=</mo><mi>mc</mi></math> here") == ["Energy is E=mc here"]
+    assert text('a<script src="x" /> var leak = 1; </script>b') == ["ab"]
+    assert text("a<svg><svg><text>x</text></svg><text>leak</text></svg>b<svg width='>' />c") == ["abc"]
+    assert text("a<template><template>x</template>leak</template>b") == ["ab"]
+    assert text("<p>a</p><xmp><b>&amp; < x</b></xmp>c") == ["a", "<b>&amp; < x</b>", "c"]
+    assert text("<object>one</object> <video>two</video> <canvas>three</canvas>") == ["one two three"]
+    assert text("a<style>p{}</style><iframe><p>x</p></iframe><textarea>t<p></textarea>b<noframes>n</noframes>") == ["ab"]
+    page = "<article><p>Energy is <math><mi>E</mi></math> for all of us.</p><script src='x' />var leak = 1;</script><p>More of the text comes after it.</p></article>"
+    assert main_text(trained(), page) == "Energy is E for all of us.\nMore of the text comes after it."
+
+
+def test_deep_pages_take_memory_by_their_size():
+    for page in ("<div>x" * 100_000, "<div>x" * 50_000 + "</section>" * 50_000, "<a>" + "<div>x" * 50_000 + "</a>" * 50_000, "<ul><li>" * 50_000):
+        tracemalloc.start()
+        main_text(trained(), page)
+        assert tracemalloc.get_traced_memory()[1] < 250 * len(page)
+        tracemalloc.stop()
+
+
+def test_paths_of_shared_nodes():
+    a, b = leaf_blocks('<main class="Main-part"><p>one</p><div>two</div></main>')
+    assert [e.tag for e in a.path] == ["main", "p"] and [e.tag for e in b.path] == ["main", "div"]
+    assert a.node.parent is b.node.parent and a.path[0].words == ("main", "part")
+
+
 def test_field_on_pages_it_was_not_trained_on():
     field = train(labelled_pages(250, seed=1), 150)
     held = labelled_pages(120, seed=2)
