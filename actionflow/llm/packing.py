@@ -13,8 +13,8 @@ piece finds its rank among those of its length (its rank in its partition, plus
 the counts of the partitions before) and looks its place up in the plan.
 
 Defined results: a null or empty text is the end id alone; equal rows are packed
-one by one; a null id stays null; an empty table gives no rows. Strings of special
-tokens inside a text are ordinary text.
+one by one; a null id stays null; an empty table gives no rows; strings of special
+tokens inside a text become those tokens, as the library has it by default.
 """
 
 from __future__ import annotations
@@ -32,14 +32,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from actionflow.llm.scratch import written
+from actionflow.llm.scratch import picked, written
 
 CAPACITY = 1024
 END_ID = 2
 
 # Fixed value: how byte-level BPE of this family cuts a text before merging.
 BYTE_LEVEL_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-LONG_RUN = 100_000  # texts with more bytes than this go through the slower library
 
 
 def default_tokenizer() -> str:
@@ -60,12 +59,12 @@ def encoder(path: str):
     """text -> array of uint32 ids, as ``tokenizers`` gives them for the file at ``path``.
 
     A byte-level BPE whose merges are numbered in the order of its ids goes
-    through ``tiktoken``, which gives the same ids about five times as fast.
+    through ``tiktoken``, which gives the same ids about five times as fast; texts
+    that hold the string of an added token don't, as only the library knows its rules.
     """
     from tokenizers import Tokenizer
 
     slow = Tokenizer.from_file(path)
-    slow.encode_special_tokens = True
 
     def plain(text: str) -> np.ndarray:
         return np.array(slow.encode(text, add_special_tokens=False).ids, np.uint32)
@@ -89,7 +88,12 @@ def encoder(path: str):
     fast = tiktoken.Encoding("own", pat_str=BYTE_LEVEL_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def quick(text: str) -> np.ndarray:
-        return plain(text) if len(text) > LONG_RUN else fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
+        if any(s in text for s in special):
+            return plain(text)
+        try:
+            return fast.encode_to_numpy(text, disallowed_special=()).astype(np.uint32)
+        except ValueError:  # a run of white space too long for its regular expressions
+            return plain(text)
 
     return quick
 
@@ -171,7 +175,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarra
 
 def pieces(docs: DataFrame, doc_id: str, text: str, tokenizer: str, capacity: int, end_id: int, keep_ids: bool) -> DataFrame:
     """The pieces of every document, with ``block`` (their partition) and ``rank`` among its pieces of that length."""
-    read = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
+    read = picked(docs, doc_id=doc_id, text=text)
     fields = [T.StructField("doc_id", read.schema["doc_id"].dataType)]
     fields += [T.StructField(c, T.LongType()) for c in ("piece", "start", "length", "ids_crc32", "block", "rank")]
     fields[1] = T.StructField("piece", T.IntegerType())
