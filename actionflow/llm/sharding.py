@@ -27,10 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from actionflow.llm.scratch import written
+from actionflow.llm.scratch import picked, written
 
 SLOTS = 1 << 14
 VIRTUAL_NODES = 128
+RUN = 4096  # equal rows of one shard that a task writes out in one go
 
 PLAN = "slot int, home int, seg_start bigint, seg_end bigint, shard int, seg_offset bigint"
 
@@ -89,13 +90,16 @@ def assign(rows: DataFrame, key: list[str], shards: int, virtual_nodes: int = VI
     before = Window.partitionBy("__slot").orderBy("__hash", *columns).rowsBetween(Window.unboundedPreceding, 0)
     ranked = ringed.withColumn("__end", F.sum("__n").over(before)).withColumn("__start", F.col("__end") - F.col("__n"))
     met = ranked.join(F.broadcast(plan), (F.col("__slot") == F.col("slot")) & (F.col("seg_start") < F.col("__end")) & (F.col("seg_end") > F.col("__start")))
-    ranks = F.sequence(F.greatest("__start", "seg_start"), F.least("__end", "seg_end") - 1)
-    placed = met.select(*columns, "shard", "home", "seg_offset", "seg_start", F.explode(ranks).alias("__rank"))
-    return placed.select(*columns, F.col("shard"), (F.col("seg_offset") + F.col("__rank") - F.col("seg_start")).alias("slot"), F.col("home").alias("home_shard"))
+    part = met.select(*columns, "shard", "home", (F.col("seg_offset") - F.col("seg_start")).alias("__shift"), F.greatest("__start", "seg_start").alias("__from"), F.least("__end", "seg_end").alias("__to"))
+    runs = part.where(F.col("__to") - F.col("__from") > RUN).withColumn("__from", F.explode(F.sequence("__from", F.col("__to") - 1, F.lit(RUN).cast("bigint"))))
+    runs = runs.withColumn("__to", F.least("__to", F.col("__from") + RUN)).repartition(F.xxhash64(*columns, "__from"))  # few rows: the runs of a key go to many tasks
+    short = part.where(F.col("__to") - F.col("__from") <= RUN).unionByName(runs)
+    placed = short.withColumn("__rank", F.explode(F.sequence("__from", F.col("__to") - 1)))
+    return placed.select(*columns, F.col("shard"), (F.col("__shift") + F.col("__rank")).alias("slot"), F.col("home").alias("home_shard"))
 
 
 def shard_documents(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    body = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    rows = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), (F.octet_length(body) + 8).cast("bigint").alias("size"), F.crc32(body).alias("text_crc32"))
+    body = F.coalesce("text", F.lit(""))
+    rows = picked(docs, doc_id=doc_id, text=text).select("doc_id", (F.octet_length(body) + 8).cast("bigint").alias("size"), F.crc32(body).alias("text_crc32"))
     placed = assign(rows, ["doc_id", "text_crc32"], shards)
     return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "home_shard")
