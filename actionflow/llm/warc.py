@@ -13,7 +13,9 @@ so a payload that a third of all rows share is one row for each task.
 
 Reading: an archive is decompressed as a stream. A payload is never held whole:
 each ``chunk_bytes`` of it are a row of record id and chunk number, with the SHA-1
-of the payload up to there, so the last row of a record carries its digest.
+of the payload up to there, so the last row of a record carries its digest. An
+archive that ends inside a record, or holds other than the number of records that the
+manifest has for it, is an error: nothing is read as complete that isn't.
 
 Defined results: a null payload is empty; a null id is the least of all ids and is
 written as such; rows equal in id and payload are records alike (all responses if
@@ -23,6 +25,7 @@ theirs is the largest id); an empty table gives no archive and no records.
 from __future__ import annotations
 
 import base64
+import datetime as dt
 import hashlib
 import uuid
 import zlib
@@ -33,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from actionflow.llm.scratch import new_path, small_broadcast, written
+from actionflow.llm.scratch import new_path, picked, small_broadcast, written
 
 REVISIT_BYTES = 1000
 CHUNK_BYTES = 256 << 10
@@ -114,11 +117,15 @@ def _binary(column: pa.Array) -> Iterator[memoryview | None]:
         yield None if not x.is_valid else memoryview(x.as_buffer())
 
 
-def write(pages: DataFrame, folder: str, record_id: str = "page_id", uri: str = "url", payload: str = "html", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """Writes every row as a WARC record into ``folder``; returns the manifest, a written table."""
-    c = lambda name: F.col(f"`{name}`")
-    body = F.coalesce(c(payload).cast("binary"), F.lit(b""))
-    rows = pages.select(c(record_id).cast("bigint").alias("id"), c(uri).cast("string").alias("uri"), body.alias("body")).withColumn("digest", F.sha1("body"))
+def write(pages: DataFrame, folder: str, record_id: str = "page_id", uri: str = "url", payload: str = "html", archive_bytes: int = ARCHIVE_BYTES, date: str | None = None) -> DataFrame:
+    """Writes every row as a WARC record into ``folder``; returns the manifest, a written table.
+
+    date: of all records, by default the time of the call. Record ids are made of
+    ``record_id``: they are unique if that is.
+    """
+    date = date or dt.datetime.now(dt.UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+    read = picked(pages, id=record_id, uri=uri, body=payload)
+    rows = read.select(F.col("id").cast("bigint").alias("id"), F.col("uri").cast("string").alias("uri"), F.coalesce(F.col("body").cast("binary"), F.lit(b"")).alias("body")).withColumn("digest", F.sha1("body"))
     slim = written(rows.where(F.octet_length("body") >= REVISIT_BYTES).select("id", "digest"), "digests")
     largest = slim.groupBy("digest").agg(F.max("id").alias("largest"), F.min("id").alias("least"), F.count("id").alias("ids"), F.count("*").alias("all"))
     revisits = slim.join(largest.where("least < largest OR (ids > 0 AND ids < all)"), "digest").where("NOT id <=> largest")
@@ -137,7 +144,7 @@ def write(pages: DataFrame, folder: str, record_id: str = "page_id", uri: str =
                 head = [
                     ("WARC-Type", "response" if refers[i] is None else "revisit"),
                     ("WARC-Record-ID", _urn(ids[i])),
-                    ("WARC-Date", "2024-01-01T00:00:00Z"),
+                    ("WARC-Date", date),
                     ("WARC-Target-URI", _field(uris[i] or "")),
                     ("WARC-Payload-Digest", _base32(digests[i])),
                 ]
@@ -162,14 +169,17 @@ class _Stream:
 
     def __init__(self, source, piece: int = 64 << 10) -> None:
         self.source, self.piece, self.unzip = source, piece, zlib.decompressobj(31)
-        self.held, self.rest = bytearray(), b""
+        self.held, self.rest, self.inside = bytearray(), b"", False
 
     def _more(self) -> bool:
         data = self.rest or self.source.read(self.piece)
         self.rest = b""
         if not data:
+            if self.inside:
+                raise ValueError("the archive ends inside a gzip member")
             return False
         self.held += self.unzip.decompress(data, self.piece)
+        self.inside = not self.unzip.eof
         if self.unzip.eof:
             self.rest, self.unzip = self.unzip.unused_data, zlib.decompressobj(31)
         else:
@@ -181,6 +191,8 @@ class _Stream:
         while (found := self.held.find(mark, at)) < 0:
             at = max(0, len(self.held) - len(mark) + 1)
             if not self._more():
+                if self.held:
+                    raise ValueError("the archive ends inside a header")
                 return None
         out = bytes(self.held[:found])
         del self.held[: found + len(mark)]
@@ -204,6 +216,8 @@ def records(source, chunk_bytes: int = CHUNK_BYTES, keep_chunks: bool = True) ->
         field = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
         left = int(field["content-length"])
         http = stream.until(b"\r\n\r\n")
+        if http is None:
+            raise ValueError("the archive ends behind a header")
         left -= len(http) + 4
         revisit = field["warc-type"] == "revisit"
         own = {
@@ -240,20 +254,23 @@ def read(manifest: DataFrame, chunk_bytes: int = CHUNK_BYTES, keep_chunks: bool
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("record_id", pa.int64()), ("record_no", pa.int64()), ("archive", pa.string()), ("record_type", pa.string()), ("target_uri", pa.string()), ("refers_to", pa.int64()), ("chunk_no", pa.int32()), ("chunk_start", pa.int64()), ("chunk_length", pa.int64()), ("is_last", pa.bool_()), ("payload_bytes", pa.int64()), ("digest_so_far", pa.string()), ("declared_digest", pa.string()), ("chunk", pa.binary())])
         for batch in batches:
-            for uri in batch.column(0).to_pylist():
+            for uri, many in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 system, path = _open(uri)
-                held, size = [], 0
+                held, size, met = [], 0, 0
                 with system.open_input_stream(path, compression=None) as source:
                     for row in records(source, chunk_bytes, keep_chunks):
                         held.append(row | {"archive": uri})
                         size += row["chunk_length"] if keep_chunks else 0
+                        met += row["is_last"]
                         if len(held) >= rows or size >= 4 << 20:
                             yield pa.RecordBatch.from_pylist(held, schema)
                             held, size = [], 0
+                if met != many:
+                    raise ValueError(f"{uri} has {met} records, the manifest says {many}")
                 if held:
                     yield pa.RecordBatch.from_pylist(held, schema)
 
-    spread = manifest.select("archive").repartition(max(1, min(manifest.count(), 100_000)), "archive")
+    spread = manifest.select("archive", "records").repartition(max(1, min(manifest.count(), 100_000)), "archive")
     return spread.mapInArrow(load, CHUNKS)
 
 

@@ -1,7 +1,9 @@
 import gzip
 import hashlib
 import io
+import os
 
+import pytest
 from actionflow.llm import warc
 from actionflow.llm.scratch import new_path
 from pyspark.sql import functions as F
@@ -71,6 +73,33 @@ def test_no_rows_and_a_broken_archive(spark):
     raise AssertionError("a cut archive was read")
 
 
+def test_every_cut_of_an_archive_is_an_error(spark):
+    """Two records, cut at every byte: what is left is never read as complete."""
+    folder = new_path(spark, "warc")
+    manifest = warc.write(spark.createDataFrame([(1, "u", "first payload"), (2, "u", "second")], "page_id bigint, url string, html string").coalesce(1), folder)
+    entry = manifest.first()
+    path = entry.archive.removeprefix("file://").removeprefix("file:")
+    with open(path, "rb") as f:
+        whole = f.read()
+    assert len(list(warc.records(io.BytesIO(whole)))) == entry.records == 2
+    alone = 0
+    for n in range(len(whole)):
+        try:
+            alone += len(list(warc.records(io.BytesIO(whole[:n])))) != 2
+        except (ValueError, KeyError):
+            continue
+    assert alone == 2  # an empty file and the end of the first record look whole; the manifest knows better
+    first = next(n for n in range(1, len(whole)) if whole[n : n + 3] == b"\x1f\x8b\x08")
+    for n in (0, 20, first, first + 40, len(whole) - 1):
+        with open(path, "wb") as f:
+            f.write(whole[:n])
+        with pytest.raises(Exception, match="archive|record|manifest"):
+            warc.read(manifest).collect()
+    os.remove(path)
+    with pytest.raises(Exception, match="(?i)no such file|not.?found"):
+        warc.read(manifest).collect()
+
+
 def test_sf(spark):
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     got = warc.round_trip(pages).select("page_id", "payload_digest")
