@@ -26,6 +26,8 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from actionflow.llm.scratch import picked
+
 # Sentences of public licence texts and of the notices they ask for.
 SENTENCES = {
     "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:',
@@ -56,6 +58,16 @@ SENTENCES = {
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
     "isc-warranty": 'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.',
     "unlicense-domain": "This is free and unencumbered software released into the public domain.",
+    "zlib-warranty": "This software is provided 'as-is', without any express or implied warranty.",
+    "zlib-grant": "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+    "gpl2-title": "GNU GENERAL PUBLIC LICENSE Version 2, June 1991",
+    "gpl3-title": "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "lgpl21-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 2.1, February 1999",
+    "lgpl3-title": "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007",
+    "agpl3-title": "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007",
+    "apache2-title": "Apache License Version 2.0, January 2004",
+    "mpl2-title": "Mozilla Public License Version 2.0",
+    "boost-title": "Boost Software License - Version 1.0 - August 17th, 2003",
     "rights-reserved": "All rights reserved.",
 }
 
@@ -78,6 +90,15 @@ NAMED = {
     "CC-BY-NC-SA-4.0": ["CC BY-NC-SA 4.0", "CC BY-NC-SA 4.0 License"],
     "CC-BY-ND-4.0": ["CC BY-ND 4.0", "CC BY-ND 4.0 License"],
     "CC0-1.0": ["CC0 1.0", "CC0 1.0 License"],
+    "Zlib": ["zlib License"],
+    "BSL-1.0": ["Boost Software License, Version 1.0", "Boost Software License 1.0"],
+    "EPL-1.0": ["Eclipse Public License, Version 1.0", "Eclipse Public License 1.0"],
+    "EPL-2.0": ["Eclipse Public License, Version 2.0", "Eclipse Public License 2.0"],
+    "Artistic-2.0": ["Artistic License, Version 2.0", "Artistic License 2.0"],
+    "CDDL-1.0": ["Common Development and Distribution License, Version 1.0", "Common Development and Distribution License 1.0"],
+    "EUPL-1.2": ["European Union Public Licence, Version 1.2", "European Union Public Licence 1.2"],
+    "Unlicense": ["Unlicense"],
+    "0BSD": ["Zero-Clause BSD License", "BSD Zero Clause License"],
 }
 SAID = ["Licensed under", "Released under", "This work is licensed under", "This software is licensed under", "This project is licensed under", "Distributed under", "Available under license"]
 
@@ -96,6 +117,15 @@ RULES = [
     ("AGPL-3.0", ["agpl3-grant", "gpl-warranty"], []),
     ("MPL-2.0", ["mpl-subject"], []),
     ("ISC", ["isc-grant", "isc-warranty"], []),
+    ("Zlib", ["zlib-warranty", "zlib-grant"], []),
+    ("GPL-2.0", ["gpl2-title"], []),
+    ("GPL-3.0", ["gpl3-title"], []),
+    ("LGPL-2.1", ["lgpl21-title"], []),
+    ("LGPL-3.0", ["lgpl3-title"], []),
+    ("AGPL-3.0", ["agpl3-title"], []),
+    ("Apache-2.0", ["apache2-title"], []),
+    ("MPL-2.0", ["mpl2-title"], []),
+    ("BSL-1.0", ["boost-title"], []),
     ("Unlicense", ["unlicense-domain"], []),
     *[(name, [f"named-{name}"], []) for name in NAMED],
 ]
@@ -163,5 +193,5 @@ def licences(ids: Column) -> Column:
 
 def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, sentence_ids and licenses (arrays) of every document."""
-    ids = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), sentence_ids(F.col(f"`{text}`")).alias("sentence_ids"))
+    ids = picked(docs, doc_id=doc_id, text=text).select("doc_id", sentence_ids(F.col("text")).alias("sentence_ids"))
     return ids.withColumn("licenses", licences(F.col("sentence_ids")))

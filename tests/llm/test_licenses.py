@@ -25,6 +25,8 @@ CASES = [
     ("\n".join(f"{i}. {ls.SENTENCES[k]}" for i, k in enumerate(["bsd-grant", "bsd-source", "bsd-binary", "bsd-warranty"])), ["BSD-2-Clause"]),
     ("\n".join(f"{i}. {ls.SENTENCES[k]}" for i, k in enumerate(["bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse", "bsd-warranty"])), ["BSD-3-Clause"]),
     (wrap(ls.SENTENCES["apache-both"], 60), ["Apache-2.0"]), ("We released under the table. The MIT License is nice.", []),
+    ("                    GNU GENERAL PUBLIC LICENSE\n                       Version 3, 29 June 2007\n\n Copyright (C) 2007", ["GPL-3.0"]), ("Mozilla Public License Version 2.0\n==================================\n\n1. Definitions", ["MPL-2.0"]),
+    ("Licensed under the Boost Software License, Version 1.0.", ["BSL-1.0"]), ("\n\n".join(wrap(ls.SENTENCES[k]) for k in ("zlib-warranty", "zlib-grant")), ["Zlib"]), ("license" + " " * 200_000 + "x", []), ("license \n" * 50_000, []),
     ("word. " * 50_000 + "Released under the MIT License. Licensed under CC0 1.0.", ["CC0-1.0", "MIT"]),
 ]
 
