@@ -13,9 +13,14 @@ neighbours are the encoding of theirs. So each position keeps one last piece, an
 walking back from the end gives the ids. Characters without a piece become the ids
 of their UTF-8 bytes.
 
+A worker remembers the ids of up to ``MEMO_CHUNKS`` chunks that came out of this (a word
+and the space before it, mostly), so a chunk that comes again isn't laid into the text
+anew. Most chunks of common prose do come again.
+
 Defined results: a null or empty text has no ids; equal rows get equal ids; texts of
 any length are cut up whole, the batch text being filled in blocks of bounded size;
-an empty table gives no rows.
+an empty table gives no rows. The model must be a byte-pair encoding with a piece for
+each byte that puts a space before a text.
 """
 
 from __future__ import annotations
@@ -35,7 +40,6 @@ SPACE = "▁"
 BLOCK_CHARS = 400_000
 PAIR_PLACES = 1 << 21
 MEMO_CHUNKS, MEMO_CHARS = 150_000, 24  # chunks of earlier batches that a worker remembers
-NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6  # kinds of pieces
 
 
 def default_model() -> str:
@@ -54,6 +58,8 @@ class Model:
         size = library.get_piece_size()
         self.text = [library.id_to_piece(i) for i in range(size)]
         self.byte_id = {int(self.text[i][3:5], 16): i for i in range(size) if library.is_byte(i)}
+        if len(self.byte_id) != 256 or library.encode("a", out_type=str)[:1] not in (["▁a"], ["▁"]):
+            raise ValueError("the model must have a piece for each byte and put a space before a text")
         self.silent = frozenset(i for i in range(size) if library.is_control(i))
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         self.spoken = [None if i in self.byte_of else "" if i in self.silent else t.replace(SPACE, " ") for i, t in enumerate(self.text)]
