@@ -56,6 +56,7 @@ LEAST_ESTIMATE = 0.6
 SET_BITS = 2048
 SET_LONGS = SET_BITS // 64
 LEADERS = 3  # pairs of a node in step 2; step 3 covers the rest
+WIDE = 4  # narrow rows that one with sketches counts for, when a table is cut into files
 TILE = 1000, 20_000  # of a bucket: members outside its largest component, and others, that meet in one place
 
 _seed = np.random.RandomState(20_231)
@@ -223,14 +224,14 @@ def _groups(read: DataFrame, rows: DataFrame, words: int, percent: int) -> DataF
     key = F.struct(F.col("id").isNull().alias("no_id"), "id", "th")
     same = rows.where("n > 0").groupBy("c1", "c2").agg(F.min(key).alias("row"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity"))
     many = rows.count()
-    nodes = written(same.withColumn("node", F.monotonically_increasing_id()), "nodes", many)
+    nodes = written(same.withColumn("node", F.monotonically_increasing_id()), "nodes", WIDE * many)
     member = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count("*").alias("many"), F.min("node").alias("leader")).where("many > 1")
     member = written(member.join(shared, "bucket"), "members")
 
     slim = nodes.select("node", "n", *[F.element_at("sketch", k + 1).alias(f"s{k}") for k in range(SKETCH_LONGS)], *[F.element_at("parity", k + 1).alias(f"f{k}") for k in range(SET_LONGS)])
     busy = member.select("node").distinct()
-    slim = written(slim.join(busy, "node"), "sketches", many)
+    slim = written(slim.join(busy, "node"), "sketches", WIDE * many)
     wanted = nodes.join(busy, "node").select("node", "row.id", "row.th")
     hashed = read.select(F.col("id").alias("doc"), "text", F.xxhash64("text").alias("hash"))
     met = hashed.join(small_broadcast(wanted), F.col("doc").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("th")))
