@@ -61,3 +61,12 @@ def data_url(png: Column) -> Column:
 
 def action_label(name: Column, action_id: Column) -> Column:
     return F.coalesce(name, F.replace(action_id, F.lit("_"), F.lit(" ")))
+
+
+def rfc3339(at: Column) -> Column:
+    """Whole seconds, in the session's time zone."""
+    return F.date_format(at, "yyyy-MM-dd'T'HH:mm:ssXXX")
+
+
+def workspace_stamp(at: Column) -> Column:
+    return F.date_format(at, "yyyyMMdd-HHmmss")

@@ -30,3 +30,19 @@ def has(permissions: Column, wanted: str) -> Column:
 def tool_allowed(command: Column, tools: tuple[str, ...] = ALLOWED_TOOLS) -> Column:
     """A bare name on the list; a path to a tool of that name isn't."""
     return F.lower(command).isin(*tools)
+
+
+def needs_decision(source: Column, permissions: Column) -> Column:
+    """A community action with an elevated permission runs only once it is trusted."""
+    return (source == "community") & needs_trust(permissions)
+
+
+def tool_error(source: Column, command: Column, permissions: Column, tools: tuple[str, ...] = ALLOWED_TOOLS) -> Column:
+    """Why an action may not run its tool; null if it may."""
+    name = F.trim(F.coalesce(command, F.lit("")))
+    any_tool = has(permissions, "tools.exec.any")
+    return (
+        F.when(name == "", "no command")
+        .when(~has(permissions, "tools.exec") & ~any_tool, "no permission to run tools")
+        .when((source == "community") & ~any_tool & ~tool_allowed(name, tools), "not an allowed tool")
+    )

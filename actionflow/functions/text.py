@@ -45,7 +45,7 @@ def text_match(name: Column, aliases: Column, description: Column, query: str) -
     for word in q.split():
         found = found | starts_a_word(low, word)
     if len(q.encode()) >= TYPO_BYTES:
-        found = found | (byte_distance(low, F.lit(q)) <= TYPO_EDITS)
+        found = found | (F.levenshtein(as_bytes(low), as_bytes(F.lit(q)), TYPO_EDITS) >= 0)  # -1 beyond, told without the whole table
     return found
 
 

@@ -5,17 +5,19 @@ from __future__ import annotations
 import os
 import subprocess
 import tempfile
-from typing import Protocol
+from collections.abc import Callable
+from typing import Any, Protocol
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from actionflow.functions.paths import data_url
-from actionflow.operators import images, jpeg
-from actionflow.plans.compile import Step
+from actionflow.operators import codecs, images, jpeg
+from actionflow.plans.compile import Catalog, Step, compile_action, typed_params
 
-READERS = {".png": images.decode_png, ".jpg": jpeg.decode, ".jpeg": jpeg.decode}  # others come in through sources.images
+READERS = {".png": images.decode_png, ".jpg": jpeg.decode, ".jpeg": jpeg.decode, ".gif": codecs.decode_gif, ".bmp": codecs.decode_bmp, ".tif": codecs.decode_tiff, ".tiff": codecs.decode_tiff}
+WRITERS = {".gif": codecs.encode_gif, ".bmp": codecs.encode_bmp, ".tif": codecs.encode_tiff, ".tiff": codecs.encode_tiff}  # PNG and JPEG have settings
 QUALITY_FALLBACK = 90.0
 
 
@@ -34,11 +36,11 @@ def number(params: dict, name: str, fallback: float) -> float:
 
 
 class ImageDriver:
-    """The shipped native actions on PNG and JPEG bytes."""
+    """The shipped native actions on the bytes of all raster types they declare."""
 
     def run(self, content: bytes, current: str, step: Step, extension: str) -> bytes:
         if current not in READERS or extension not in READERS:
-            raise images.Unsupported(f"no codec for {current} to {extension}: PNG and baseline JPEG are read and written here")
+            raise images.Unsupported(f"no codec for {current} to {extension}")
         pixels = READERS[current](content)
         if step.action == "resize":
             pixels = images.resize_percent(pixels, number(step.params, "percent", 100))
@@ -48,6 +50,8 @@ class ImageDriver:
             pixels = images.blur(pixels, number(step.params, "radius", 2.0))
         elif step.action not in ("compress", "convert_to_png", "convert_to_jpeg"):
             raise ValueError(f"no native action {step.action}")
+        if extension in WRITERS:
+            return WRITERS[extension](pixels)
         if extension == ".png":
             return images.encode_png(pixels, 9 if step.action == "compress" else 6)
         return jpeg.encode(pixels, int(min(100, max(40, number(step.params, "quality", QUALITY_FALLBACK)))))
@@ -95,24 +99,23 @@ def run_steps(content: bytes, current: str, steps: list[Step]) -> tuple[bytes, s
 
 
 RESULT = "id string, position bigint, content binary, current_extension string, size bigint, preview string, error string"
+RAW = "id string, position bigint, content binary, current_extension string, size bigint, preview binary, error string"
+CHAIN = "array<struct<skill_id:string,params:map<string,string>>>"
 
 
-def apply_steps(files: DataFrame, plans: dict[str, list[Step]] | list[Step], batch_rows: int = 16) -> DataFrame:
-    """files: id, position, content, current_extension. A row for each, with its new content or what went wrong.
-
-    plans: the steps for all files, or by file id. Every file keeps its place; an error
-    is that file's alone and leaves its content as it was.
-    """
+def _applied(files: DataFrame, column: str | None, steps_of: Callable[[Any], list[Step]], batch_rows: int) -> DataFrame:
+    """A row for each file with its new content, or its old one and what went wrong."""
+    names = ["id", "position", "content", "current_extension", *([column] if column else [])]
 
     def work(frames):
         for frame in frames:
             for at in range(0, len(frame), batch_rows):
                 rows = []
-                for i, position, content, current in frame.iloc[at : at + batch_rows][["id", "position", "content", "current_extension"]].itertuples(index=False):
+                for i, position, content, current, *more in frame.iloc[at : at + batch_rows][names].itertuples(index=False):
                     shown = error = None
                     content = bytes(content)
                     try:
-                        content, current = run_steps(content, current, plans if isinstance(plans, list) else plans.get(i, []))
+                        content, current = run_steps(content, current, steps_of(more[0] if more else i))
                     except Exception as e:  # whatever it is, it is this file's
                         error = f"{type(e).__name__}: {e}"
                     try:
@@ -122,11 +125,29 @@ def apply_steps(files: DataFrame, plans: dict[str, list[Step]] | list[Step], bat
                     rows.append((i, position, content, current, len(content), shown, error))
                 yield pd.DataFrame(rows, columns=["id", "position", "content", "current_extension", "size", "preview", "error"])
 
-    raw = "id string, position bigint, content binary, current_extension string, size bigint, preview binary, error string"
-    done = files.select("id", "position", "content", "current_extension").mapInPandas(work, raw)
-    return done.withColumn("preview", data_url(F.col("preview")))
+    return files.select(*names).mapInPandas(work, RAW).withColumn("preview", data_url(F.col("preview")))
+
+
+def apply_steps(files: DataFrame, steps: list[Step], batch_rows: int = 16) -> DataFrame:
+    """The same steps for all files. files: id, position, content, current_extension.
+
+    Every file keeps its place; an error is that file's alone and leaves its content as it was.
+    """
+    return _applied(files, None, lambda _: steps, batch_rows)
+
+
+def apply_chains(files: DataFrame, catalog: Catalog, trusted: frozenset[str] = frozenset(), batch_rows: int = 16) -> DataFrame:
+    """Each file's own ``chain`` (CHAIN), compiled where it is run; an action that can't be compiled is that file's error.
+
+    What differs by file travels with the file, so any number of files has chains of its own.
+    """
+
+    def steps_of(chain) -> list[Step]:
+        return [s for link in (chain if chain is not None else []) for s in compile_action(catalog, link["skill_id"], typed_params(catalog, link["skill_id"], dict(link["params"] or {})), trusted)]
+
+    return _applied(files, "chain", steps_of, batch_rows)
 
 
-def first_error(results: DataFrame) -> str | None:
-    """Of the first file in order that failed."""
-    return results.where("error IS NOT NULL").agg(F.min_by("error", "position")).first()[0]
+def first_error(results: DataFrame) -> DataFrame:
+    """One row: the error of the first file in order that failed, null if none did."""
+    return results.where("error IS NOT NULL").agg(F.min_by("error", "position").alias("error"))

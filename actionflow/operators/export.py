@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import os
-
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from actionflow.functions import paths
+from actionflow.sources import storage
 
 #: Ranges of positions, so that one name's requests are counted in many tasks.
 RANGES = 128
@@ -94,22 +93,19 @@ def planned(files: DataFrame, steps: DataFrame, pattern: str, folder: str = "",
 
 
 def export(files: DataFrame, steps: DataFrame, pattern: str, folder: str = "") -> DataFrame:
-    """Writes every file's content; (id, output_path) in order."""
-    spark = files.sparkSession
+    """Writes every file's content; (id, position, output_path) in order. files: with original_path, current_extension and content.
+
+    Folders are listed and files written by tasks, on any file system (``sources.storage``).
+    A row's path is settled before it is written, so a repeated task writes the same file again.
+    """
     plan = planned(files, steps, pattern, folder)
-    folders = [r[0] for r in plan.select("folder").distinct().collect()]
-    listed = [(f, n) for f in folders if os.path.isdir(f) for n in os.listdir(f)]
-    free = resolve(plan.select("folder", "position", "name"), spark.createDataFrame(listed, "folder string, name string"))
+    free = resolve(plan.select("folder", "position", "name"), storage.names_in(plan.select("folder").distinct()))
     ready = plan.select("id", "position").join(free, "position").join(files.select("id", "content"), "id").select("id", "position", F.concat_ws("/", "folder", "resolved").alias("output_path"), "content")
 
     def copy(frames):
         for frame in frames:
             for path, content in zip(frame["output_path"], frame["content"], strict=True):
-                os.makedirs(os.path.dirname(path), exist_ok=True)
-                with open(path, "wb") as f:
-                    f.write(content)
-                    f.flush()
-                    os.fsync(f.fileno())
+                storage.put(path, content)
             yield frame[["id", "position", "output_path"]]
 
     return ready.mapInPandas(copy, "id string, position bigint, output_path string").orderBy("position")

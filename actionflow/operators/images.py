@@ -8,6 +8,7 @@ import zlib
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from actionflow.functions.paths import data_url
 
@@ -31,11 +32,33 @@ def encode_png(pixels: np.ndarray, level: int = 6) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw, level)) + chunk(b"IEND", b"")
 
 
+def _unfiltered(rows: np.ndarray, n: int) -> np.ndarray:
+    """Scan lines without their filters. rows: a filter byte and the bytes of each line; n: bytes of a pixel.
+
+    A byte needs those to its left, above and between; all on one diagonal are worked out together.
+    """
+    height, width = rows.shape[0], (rows.shape[1] - 1) // n
+    how, raw = rows[:, 0], rows[:, 1:].reshape(height, width, n).astype(np.int64)
+    if (how == 0).all():
+        return rows[:, 1:]
+    out = np.zeros((height + 1, width + 1, n), np.int64)
+    for d in range(height + width - 1):
+        y = np.arange(max(0, d - width + 1), min(height, d + 1))
+        x = d - y
+        left, up, corner, kind = out[y + 1, x], out[y, x + 1], out[y, x], how[y, None]
+        p = left + up - corner
+        a, b, c = abs(p - left), abs(p - up), abs(p - corner)
+        nearest = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+        guess = np.select([kind == 1, kind == 2, kind == 3, kind == 4], [left, up, (left + up) // 2, nearest], 0)
+        out[y + 1, x + 1] = (raw[y, x] + guess) & 255
+    return out[1:, 1:].astype(np.uint8).reshape(height, width * n)
+
+
 def decode_png(data: bytes) -> np.ndarray:
-    """(height, width, 4) of an 8-bit, not interlaced PNG."""
+    """(height, width, 4) of 8 bits; of 16-bit samples the high byte."""
     if data[:8] != b"\x89PNG\r\n\x1a\n":
         raise Unsupported("not a PNG")
-    at, body, palette, alpha = 8, b"", None, b""
+    at, body, palette, alpha = 8, [], None, b""
     width = height = depth = kind = lace = 0
     while at < len(data):
         size, tag = struct.unpack(">I4s", data[at : at + 8])
@@ -47,42 +70,43 @@ def decode_png(data: bytes) -> np.ndarray:
         elif tag == b"tRNS":
             alpha = part
         elif tag == b"IDAT":
-            body += part
+            body.append(part)
         at += size + 12
-    if depth != 8 or lace or kind not in (0, 2, 3, 4, 6):
-        raise Unsupported("a PNG of another depth or interlaced")
+    if kind not in (0, 2, 3, 4, 6) or depth not in (1, 2, 4, 8, 16):
+        raise Unsupported("a PNG of another kind")
     n = {0: 1, 2: 3, 3: 1, 4: 2, 6: 4}[kind]
-    rows = np.frombuffer(zlib.decompress(body), np.uint8).reshape(height, width * n + 1)
-    out = np.zeros((height + 1, width * n + n), np.int64)
-    for y in range(height):
-        how, line, above = rows[y, 0], rows[y, 1:].astype(np.int64), out[y]
-        here = out[y + 1]
-        if how == 0:
-            here[n:] = line
-        elif how == 2:
-            here[n:] = (line + above[n:]) & 255
-        elif how == 1:
-            here[n:] = (np.cumsum(line.reshape(-1, n), axis=0) & 255).ravel()
+    raw, used = zlib.decompress(b"".join(body)), 0
+    pixels = np.zeros((height, width, n), np.uint16)
+    # First row and column, and steps, of the interlaced passes.
+    passes = [(0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1)] if lace else [(0, 0, 1, 1)]
+    for top, left, down, across in passes:
+        h, w = -(-(height - top) // down), -(-(width - left) // across)
+        if h <= 0 or w <= 0:
+            continue
+        stride = (w * n * depth + 7) // 8
+        rows = np.frombuffer(raw, np.uint8, h * (stride + 1), used).reshape(h, stride + 1)
+        used += rows.size
+        lines = np.ascontiguousarray(_unfiltered(rows, max(1, n * depth // 8)))
+        if depth == 16:
+            samples = lines.view(">u2").reshape(h, w, n)
+        elif depth == 8:
+            samples = lines.reshape(h, w, n)
         else:
-            for x in range(n, width * n + n):
-                left, up, corner = here[x - n], above[x], above[x - n]
-                if how == 3:
-                    guess = (left + up) // 2
-                else:
-                    p = left + up - corner
-                    guess = min((abs(p - left), 0, left), (abs(p - up), 1, up), (abs(p - corner), 2, corner))[2]
-                here[x] = (line[x - n] + guess) & 255
-    pixels = out[1:, n:].astype(np.uint8).reshape(height, width, n)
+            samples = (np.unpackbits(lines, axis=1).reshape(h, -1, depth) @ (1 << np.arange(depth - 1, -1, -1)))[:, :w, None]
+        pixels[top::down, left::across] = samples
     full = np.full((height, width, 4), 255, np.uint8)
     if kind == 3:
         full[:, :, :3] = palette[pixels[:, :, 0]]
         see = np.full(len(palette), 255, np.uint8)
         see[: len(alpha)] = np.frombuffer(alpha, np.uint8)
         full[:, :, 3] = see[pixels[:, :, 0]]
-    else:
-        full[:, :, :3] = pixels[:, :, : (3 if n >= 3 else 1)]
-        if n in (2, 4):
-            full[:, :, 3] = pixels[:, :, -1]
+        return full
+    eight = pixels >> 8 if depth == 16 else pixels * (255 // ((1 << depth) - 1))
+    full[:, :, :3] = eight[:, :, : (3 if n >= 3 else 1)]
+    if n in (2, 4):
+        full[:, :, 3] = eight[:, :, -1]
+    elif alpha:  # one colour is transparent
+        full[(pixels == np.frombuffer(alpha, ">u2")[:n]).all(axis=2), 3] = 0
     return full
 
 
@@ -139,20 +163,36 @@ def preview(pixels: np.ndarray) -> bytes:
     return encode_png(pixels)
 
 
-def raster_report(vectors: DataFrame) -> DataFrame:
-    """id, values (64 numbers): an 8 by 8 raster as PNG, and what the kernels make of it."""
+def raster_of(values: np.ndarray) -> bytes:
+    """64 numbers as an 8 by 8 PNG: scaled to 0 to 255, turned, and inverted in its three channels."""
+    v = np.asarray(values, float)[:64]
+    grey = np.clip(np.rint((v - v.min()) / max(np.ptp(v), 1e-9) * 255), 0, 255).astype(np.uint8).reshape(8, 8)
+    return encode_png(np.stack([grey, grey.T, 255 - grey], 2))
+
+
+def raster_files(vectors: DataFrame) -> DataFrame:
+    """Files (id, position, content, current_extension, extension) of rasters. vectors: id, values (64 numbers)."""
+
+    def work(frames):
+        for frame in frames:
+            yield pd.DataFrame({"position": frame["id"].astype("int64"), "content": [raster_of(v) for v in frame["values"]]})
+
+    made = vectors.mapInPandas(work, "position bigint, content binary")
+    return made.select(F.col("position").cast("string").alias("id"), "position", "content", F.lit(".png").alias("current_extension"), F.lit(".png").alias("extension"))
+
+
+def raster_report(files: DataFrame) -> DataFrame:
+    """id, size of a raster and of its half, what its channels sum up to as it is, in grey and blurred, and its preview."""
 
     def work(frames):
         for frame in frames:
             rows = []
-            for i, values in zip(frame["id"], frame["values"], strict=True):
-                v = np.asarray(values, float)[:64]
-                grey = np.clip(np.rint((v - v.min()) / max(np.ptp(v), 1e-9) * 255), 0, 255).astype(np.uint8).reshape(8, 8)
-                png = encode_png(np.stack([grey, grey.T, 255 - grey], 2))
-                pixels = decode_png(png)
+            for i, png in zip(frame["id"], frame["content"], strict=True):
+                pixels = decode_png(bytes(png))
                 half, soft = resize_percent(pixels, 50), blur(pixels, 1.5)
-                rows.append((i, png, *half.shape[1::-1], int(grayscale(pixels)[:, :, 0].sum()), int(soft[:, :, :3].sum())))
-            yield pd.DataFrame(rows, columns=["id", "png", "half_width", "half_height", "grey_sum", "soft_sum"])
+                total = lambda p: int(p[:, :, :3].astype(int).sum())
+                rows.append((i, *pixels.shape[1::-1], *half.shape[1::-1], total(pixels), int(grayscale(pixels)[:, :, 0].astype(int).sum()), total(soft), preview(pixels)))
+            yield pd.DataFrame(rows, columns=["id", "width", "height", "half_width", "half_height", "sum", "grey_sum", "soft_sum", "png"])
 
-    found = vectors.mapInPandas(work, "id bigint, png binary, half_width int, half_height int, grey_sum bigint, soft_sum bigint")
+    found = files.mapInPandas(work, "id string, width int, height int, half_width int, half_height int, sum bigint, grey_sum bigint, soft_sum bigint, png binary")
     return found.withColumn("preview", data_url(found["png"])).drop("png")

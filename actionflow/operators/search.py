@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from actionflow.functions import text
+from actionflow.functions import permissions, text
 
 SUGGESTIONS = 6
 
@@ -37,3 +37,15 @@ def search(catalog: DataFrame, usage: DataFrame | None, query: str = "", given:
     """Best first; ties by name, then by id, so that the order is always the same."""
     ranked = scored(catalog, usage, query, given or [], as_of).orderBy(F.desc("score"), "name", "id")
     return ranked.limit(limit) if limit else ranked
+
+
+def with_trust(catalog: DataFrame, trust: DataFrame) -> DataFrame:
+    """The catalog with what has been decided on each action; no decision is no trust. trust: skill_id."""
+    known = trust.select(F.col("skill_id").alias("id"), F.lit(True).alias("trusted")).distinct()
+    return catalog.join(known, "id", "left").withColumn("trusted", F.coalesce("trusted", F.lit(False)))
+
+
+def undecided(catalog: DataFrame, trust: DataFrame) -> DataFrame:
+    """Actions that can't be run before they are trusted. catalog: id, source, permissions."""
+    asked = catalog.where(permissions.needs_decision(F.col("source"), F.col("permissions")))
+    return asked.join(trust.select(F.col("skill_id").alias("id")), "id", "left_anti")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from typing import Any
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -36,15 +38,74 @@ def without_step(steps: DataFrame, group: str, index: int) -> DataFrame:
     return kept.withColumn("step_index", F.when(F.col("step_index") > index, F.col("step_index") - 1).otherwise(F.col("step_index")))
 
 
-def last_step(steps: DataFrame, group: str, value: str) -> DataFrame:
-    return steps.groupBy(group).agg(F.max_by(value, "step_index").alias(value), F.count("*").alias("steps"))
+def last_step(steps: DataFrame, group: str, value: str, *order: str) -> DataFrame:
+    """Each group's value of the last step by ``order``, and how many steps it has. Aggregated on the map side, without a sort."""
+    return steps.groupBy(group).agg(F.max_by(value, F.struct(*order)).alias(value), F.count("*").alias("steps"))
+
+
+def folded_extensions(steps: DataFrame, group: str, extension: str, start: str, *order: str) -> DataFrame:
+    """The extension after all of a group's steps, each of which sets one or ('') keeps the current: that of the last step that sets one."""
+    sets = F.when(F.col(extension) != "", F.struct(*order))
+    return steps.groupBy(group).agg(F.count("*").alias("steps"), F.coalesce(F.max_by(extension, sets), F.lit(start)).alias("final_extension"))
+
+
+def chains(steps: DataFrame) -> DataFrame:
+    """(file_id, chain): each file's steps in order, as ``apply_chains`` takes them."""
+    each = F.array_sort(F.collect_list(F.struct("step_index", "skill_id", "params_text")))
+    text = steps.withColumn("params_text", F.to_json("params"))
+    link = lambda s: F.struct(s["skill_id"].alias("skill_id"), F.from_json(s["params_text"], "map<string,string>").alias("params"))
+    return text.groupBy("file_id").agg(F.transform(each, link).alias("chain"))
+
+
+def previous_snapshot(snapshots: DataFrame, group: str, index: Column) -> DataFrame:
+    """Where a run again from step ``index`` on starts: each group's last snapshot before it; no row means the file as it came."""
+    before = snapshots.where(F.col("step_index") < index)
+    return before.groupBy(group).agg(F.max_by("snapshot", "step_index").alias("start_from"), F.max("step_index").alias("step_index"))
+
+
+def truncated(snapshots: DataFrame, index: Column) -> DataFrame:
+    """Snapshots of the steps before ``index``; later ones are of steps that are run again."""
+    return snapshots.where(F.col("step_index") < index)
+
+
+def with_snapshot(snapshots: DataFrame, new: DataFrame, group: str) -> DataFrame:
+    """Snapshots with ``new`` ones (group, step_index, snapshot) put in their places, over what was there."""
+    key = [group, "step_index"]
+    return snapshots.join(new.select(*key), key, "left_anti").unionByName(new)
+
+
+def gaps_filled(snapshots: DataFrame, group: str) -> DataFrame:
+    """A row for each index up to a group's last; where nothing was kept the snapshot is null."""
+    ends = snapshots.groupBy(group).agg(F.max("step_index").alias("last"))
+    every = ends.select(group, F.explode(F.sequence(F.lit(0), F.col("last"))).alias("step_index"))
+    return every.join(snapshots, [group, "step_index"], "left")
+
+
+PUBLIC = ("id", "position", "name", "extension", "current_extension", "original_path", "size", "preview")
+
+
+def public_view(files: DataFrame) -> DataFrame:
+    """What may be shown of files: no contents, no places of tables."""
+    return files.select(*[c for c in PUBLIC if c in files.columns])
+
+
+def appended(files: DataFrame, new: DataFrame) -> DataFrame:
+    """New files behind all others, in the order of their own positions."""
+    behind = files.agg((F.coalesce(F.max("position"), F.lit(-1)) + 1).alias("position")).first()[0]
+    return files.unionByName(new.withColumn("position", F.col("position") + F.lit(behind).cast("bigint")))
+
+
+def targets(files: DataFrame, selected: DataFrame, mode: str, active: Any = None) -> DataFrame:
+    """What an action is for: the selected files; if there are none, in per-file mode the active one; else all."""
+    if selected.limit(1).count():
+        return files.join(selected.select("id").distinct(), "id", "left_semi")
+    return files.where(F.col("id") == F.lit(active)) if mode == "per_file" and active is not None else files
 
 
-def folded_extensions(steps: DataFrame, group: str, extension: str, start: str) -> DataFrame:
-    """The extension after all of a group's steps, each of which sets one or ('' ) keeps the current: an ordered fold."""
-    ordered = steps.groupBy(group).agg(F.transform(F.array_sort(F.collect_list(F.struct("step_index", F.col(extension).alias("e")))), lambda s: s["e"]).alias("__chain"))
-    final = F.aggregate("__chain", F.lit(start), lambda acc, e: F.when(e == "", acc).otherwise(e))
-    return ordered.select(group, F.size("__chain").cast("bigint").alias("steps"), final.alias("final_extension"))
+def selection_count(selected: DataFrame, active: Any = None) -> DataFrame:
+    """One row: how many files are selected; one if none is but a file is active."""
+    n = F.count_distinct("id")
+    return selected.agg(F.when((n == 0) & F.lit(active is not None), F.lit(1).cast("bigint")).otherwise(n).alias("selected"))
 
 
 def joined_lines(rows: DataFrame, value: str, order: str) -> DataFrame:

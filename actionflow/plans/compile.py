@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass, field
 from typing import Any
 
+import pandas as pd
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
 from actionflow.functions.permissions import ALLOWED_TOOLS, ELEVATED
 
 MAX_DEPTH = 6
@@ -59,7 +64,7 @@ def merge_params(base: dict | None, over: dict | None) -> dict | None:
 
 def _typed(kind: str, value: Any) -> Any:
     try:
-        return int(value) if kind == "int" else float(value) if kind == "float" else value
+        return int(float(value)) if kind == "int" else float(value) if kind == "float" else value
     except (TypeError, ValueError):
         return value
 
@@ -69,6 +74,21 @@ def with_defaults(definition: dict, params: dict | None) -> dict:
     return {**own, **(params or {})}
 
 
+def typed_params(catalog: Catalog, action: str, params: dict[str, str]) -> dict[str, Any]:
+    """Parameters kept as text, with the types the action declares; of others numbers become numbers."""
+    kinds = {p["name"]: p["type"] for p in catalog.get(action).get("params") or []}
+
+    def value(name: str, text: str) -> Any:
+        if name in kinds:
+            return _typed(kinds[name], text)
+        try:
+            return json.loads(text) if text not in ("NaN", "Infinity", "-Infinity") else text
+        except (TypeError, ValueError):
+            return text
+
+    return {k: value(k, v) for k, v in params.items()}
+
+
 def check_trust(definition: dict, trusted: frozenset[str]) -> None:
     risky = [p for p in definition.get("permissions") or [] if p in ELEVATED]
     if definition.get("source") == "community" and risky and definition["id"] not in trusted:
@@ -119,6 +139,32 @@ def compile_action(catalog: Catalog, action: str, params: dict | None = None, tr
     return steps
 
 
+PLANNED = "id string, step int, action string, driver string, params map<string,string>, extension string, error string"
+
+
+def compile_requests(requests: DataFrame, catalog: Catalog, trusted: frozenset[str] = frozenset()) -> DataFrame:
+    """A row for each step of each request, or one with what is wrong with it.
+
+    requests: id, action, params (map of text) and extension (of the file it is for).
+    The catalog travels with the tasks; requests are gone through where they lie.
+    """
+
+    def work(frames):
+        for frame in frames:
+            rows = []
+            for i, action, params, now in frame[["id", "action", "params", "extension"]].itertuples(index=False):
+                try:
+                    steps = compile_action(catalog, action, typed_params(catalog, action, dict(params or {})), trusted)
+                except PlanError as e:
+                    rows.append((i, -1, action, None, None, now, str(e)))
+                    continue
+                for k, (s, ext) in enumerate(zip(steps, extensions(steps, now)[1:], strict=True)):
+                    rows.append((i, k, s.action, s.driver, {n: f"{v:g}" if isinstance(v, float) else str(v) for n, v in s.params.items()}, ext, None))
+            yield pd.DataFrame(rows, columns=["id", "step", "action", "driver", "params", "extension", "error"])
+
+    return requests.select(F.col("id").cast("string").alias("id"), "action", "params", "extension").mapInPandas(work, PLANNED)
+
+
 def extensions(steps: list[Step], current: str) -> list[str]:
     out = [current]
     for s in steps:

@@ -16,7 +16,10 @@ STEPS = T.StructType([
     T.StructField("file_id", T.StringType()), T.StructField("step_index", T.IntegerType()), T.StructField("skill_id", T.StringType()),
     T.StructField("params", T.MapType(T.StringType(), T.StringType())), T.StructField("applied_at", T.TimestampType()),
 ])
+USES = "skill_id string, used_at timestamp"
 USAGE = "skill_id string, count bigint, last_used timestamp"
 SETTINGS = "output_folder string, naming_pattern string, accent_color string"
 TRUST = "skill_id string"
-FILES = "id string, position bigint, name string, extension string, current_extension string, original_path string, size bigint, base binary, content binary, preview string"
+SNAPSHOTS = "file_id string, step_index int, snapshot string, extension string"
+FILES = "id string, position bigint, name string, extension string, current_extension string, original_path string, size bigint, preview string, snapshot string"
+CONTENTS = "id string, snapshot string, content binary"

@@ -38,7 +38,7 @@ def files_of(spark: SparkSession, roots: list[tuple[str, str]]) -> DataFrame:
         found = one if found is None else found.unionByName(one)
     if found is None:
         return spark.createDataFrame([], "source string, layer int, definition_path string, file_name string, text string")
-    return found.where(is_definition(F.col("file_name")))
+    return found
 
 
 def normalize(rows: DataFrame) -> DataFrame:
@@ -72,12 +72,24 @@ def last_wins(rows: DataFrame, key: str = "id", order: tuple[str, ...] = ("layer
     return rows.withColumn("__place", F.row_number().over(window)).where("__place = 1").drop("__place")
 
 
-def load(spark: SparkSession, roots: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
-    """(catalog, quarantine): good definitions, the last of each id, and the files that were refused with the reason."""
-    rows = normalize(parsed(files_of(spark, roots)))
+def load_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(catalog, quarantine): good definitions, the last of each id, and the files that were refused with the reason.
+
+    files: source, layer, definition_path, file_name, text.
+    """
+    rows = normalize(parsed(files.where(is_definition(F.col("file_name")))))
     return last_wins(rows.where("error IS NULL")).drop("error"), rows.where("error IS NOT NULL").select("source", "definition_path", "id", "error")
 
 
-def errors_text(quarantine: DataFrame) -> str:
+def load(spark: SparkSession, roots: list[tuple[str, str]]) -> tuple[DataFrame, DataFrame]:
+    return load_files(files_of(spark, roots))
+
+
+def errors_line(quarantine: DataFrame) -> DataFrame:
+    """One row: all refusals in one text, in the order of their paths."""
     line = F.array_join(F.array_sort(F.collect_list(F.concat("definition_path", F.lit(": "), "error"))), "; ")
-    return quarantine.agg(line).first()[0]
+    return quarantine.agg(line.alias("text"))
+
+
+def errors_text(quarantine: DataFrame) -> str:
+    return errors_line(quarantine).first()[0]

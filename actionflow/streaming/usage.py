@@ -20,7 +20,11 @@ def count_once(spark: SparkSession, path: str, action: str, used_at: str) -> Dat
     Every micro-batch writes the whole state to a table of its own in the folder the
     cluster shares; the last is the result.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="usage-")
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="usage-")
     base = f"{base.rstrip('/')}/usage-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")

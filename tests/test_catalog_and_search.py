@@ -1,5 +1,6 @@
 import datetime as dt
 import json
+import time
 
 import pytest
 from actionflow.operators.search import search, usage_of
@@ -86,6 +87,27 @@ def test_layers_and_quarantine(spark, tmp_path):
     (tmp_path / "own" / "native.json").unlink()
     watch(spark, roots, lambda c, q: seen.append(sorted(r.id for r in c.collect())), str(tmp_path / "progress"), once=True).awaitTermination()
     assert seen[-1] == sorted({*rows, "new"} - {"native"})
+    many = len(seen)
+    watch(spark, roots, lambda c, q: seen.append(sorted(r.id for r in c.collect())), str(tmp_path / "progress"), once=True).awaitTermination()
+    assert len(seen) == many  # nothing has changed
+
+    stream = watch(spark, [*roots, ("community", str(tmp_path / "later"))], lambda c, q: seen.append(sorted(r.id for r in c.collect())), str(tmp_path / "stream"))
+    try:
+        def settles(want):
+            until = time.time() + 60
+            while not (len(seen) > many and seen[-1] == sorted(want)) and time.time() < until:
+                time.sleep(0.1)
+            return seen[-1] == sorted(want)
+
+        assert settles({*rows, "new"} - {"native"})
+        put("disk", "new.json", definition("newer"))  # an edit
+        assert settles({*rows, "newer"} - {"native"})
+        (tmp_path / "disk" / "new.json").unlink()  # only a deletion
+        assert settles({*rows} - {"native"})
+        put("later", "deep/own.json", definition("late"))  # a folder that wasn't there
+        assert settles({*rows, "late"} - {"native"})
+    finally:
+        stream.stop()
 
 
 def test_compile(catalog):

@@ -167,26 +167,144 @@ def test_session(spark, tmp_path):
     added = s.add_files([str(tmp_path / "in" / n) for n in ("a.png", "b.png", "missing.png")]).collect()
     assert [(r.name, r.current_extension, r.preview is None) for r in added] == [("a", ".png", False), ("b", ".png", True)]
     a, b = (r.id for r in added)
+    assert "content" not in s.view().columns and "snapshot" not in s.view().columns
     done = s.apply(None, "resize", {"percent": 50})
-    assert "Unsupported" in done.message and s.uses.count() == 0
+    assert "Unsupported" in done.message and s.uses.count() == 0 and "content" not in done.files.columns
     for action, given in (("grayscale", {}), ("blur", {"radius": 2.0})):
         assert s.apply([a], action, given).message == ""
     assert {r.skill_id: r["count"] for r in s.usage().collect()} == {"grayscale": 1, "blur": 1}
     with pytest.raises(PlanError):
         s.remove_step(a, 3)
-    left = s.remove_step(a, 1).first()
+    written = s.spark.read.parquet(s.contents)
+    before = written.count()
+    assert s.remove_step(a, 1).count() == 1
+    assert s.spark.read.parquet(s.contents).count() == before + 1  # only blur ran again
+    held = lambda i: bytes(s.content([i]).first().content)
     want = images.blur(images.decode_png(images.encode_png(images.resize_percent(images.decode_png(images.encode_png(grad)), 50))), 2.0)
-    assert (images.decode_png(bytes(left.content)) == want).all() and want.shape[:2] == (3, 4)
+    assert (images.decode_png(held(a)) == want).all() and want.shape[:2] == (3, 4)
     assert [(r.step_index, r.skill_id) for r in s.steps.where(F.col("file_id") == a).orderBy("step_index").collect()] == [(0, "resize"), (1, "blur")]
-    s.apply(None, "set_output_folder", {"folder": str(tmp_path / "out")})
+    assert [r.step_index for r in s.snapshots.where(F.col("file_id") == a).orderBy("step_index").collect()] == [0, 1]
+    s.apply(None, "set_output_folder", {"folder": f"file://{tmp_path}/out"})
     assert s.apply(None, "export").message == "Exported 2 files"
     assert [r.output_path.rpartition("/")[2] for r in s.export().collect()] == ["a_blur-1.png", "b_file-1.png"]
-    assert (tmp_path / "out" / "a_blur.png").read_bytes() == bytes(left.content)
+    assert (tmp_path / "out" / "a_blur.png").read_bytes() == held(a)
     s.apply(None, "switch_to_per_file")
     assert s.mode == "per_file" and s.types() == [".png"]
+    s.set_active(a)
+    assert s.apply(None, "compress").message == "" and s.steps.where(F.col("file_id") == b).count() == 0  # the active file alone
+    s.remove_step(a, 0)
+    assert images.decode_png(held(a)).shape[:2] == (6, 8) and s.steps.where(F.col("file_id") == a).count() == 2
     with pytest.raises(PlanError):
         s.apply(["nobody"], "blur")
     s.remove_files([b])
     assert s.files.count() == 1
     s.apply(None, "clear_all")
     assert s.files is None and s.mode == "batch" and s.apply(None, "blur").files.count() == 0
+    assert s.export().count() == 0 and s.view().count() == 0
+    s.remove_files(["x"])
+
+
+def test_session_keeps_settings_trust_and_uses(spark, tmp_path):
+    catalog, _ = catalogs.load(spark, [("core:embedded", write_shipped(str(tmp_path / "core")))])
+    kept = f"file://{tmp_path}/kept"
+    s = Session(spark, catalog, f"file://{tmp_path}/one", kept)
+    assert s.settings["naming_pattern"] == paths.DEFAULT_PATTERN and s.trusted == set() and s.usage().count() == 0
+    s.apply(None, "set_accent_color", {"color": "1,2,3"})
+    s.apply(None, "set_naming_pattern", {"pattern": "  "})  # blank: as before
+    s.set_trust("x", True)
+    s.set_trust("y", True)
+    s.set_trust("x", False)
+    (tmp_path / "a.bmp").write_bytes(execute.WRITERS[".bmp"](np.zeros((4, 4, 3), np.uint8)))
+    s.add_files([f"file://{tmp_path}/a.bmp"])
+    for _ in range(2):
+        assert s.apply(None, "grayscale").message == ""
+    again = Session(spark, catalog, f"file://{tmp_path}/two", kept)
+    assert again.settings == {"output_folder": "", "naming_pattern": paths.DEFAULT_PATTERN, "accent_color": "1,2,3"}
+    assert again.trusted == {"y"} and [(r.skill_id, r["count"]) for r in again.usage().collect()] == [("grayscale", 2)]
+
+
+def test_values_of_parameters_are_the_same_when_run_again(spark, tmp_path):
+    """A tool that writes its argument down: run at first and again it gets the same."""
+    catalog, _ = catalogs.load(spark, [("core:embedded", write_shipped(str(tmp_path / "core")))])
+    s = Session(spark, catalog, f"file://{tmp_path}/tables")
+    for name in ("note", "first"):
+        s.plans.rows[name] = {"id": name, "is_meta": False, "driver": "cli", "output_type": "", "source": "core:embedded", "permissions": ["tools.exec"], "params": [], "executor": {"type": "cli", "command": "sh", "args": ["-c", 'printf "%s|" "$1" "$2" "$3" > "$0"', "{{output}}", "{{a}}", "{{b}}", "{{c}}"]}}
+    (tmp_path / "f.txt").write_bytes(b"x")
+    i = s.add_files([str(tmp_path / "f.txt")]).first().id
+    for name in ("first", "note"):
+        assert s.apply([i], name, {"a": 2.0, "b": "007", "c": "1e3"}).message == ""
+    told = bytes(s.content().first().content)
+    s.remove_step(i, 0)
+    assert bytes(s.content().first().content) == told == b"2|007|1e3|"
+
+
+def test_other_rasters(spark, tmp_path):
+    r = np.random.RandomState(5)
+    few = r.choice([0, 100, 255], (9, 13, 4)).astype(np.uint8)
+    few[:, :, 3] = 255
+    for ext, write in execute.WRITERS.items():
+        p = few if ext == ".gif" else r.randint(0, 256, (9, 13, 4)).astype(np.uint8)
+        seen = p.copy()
+        seen[:, :, 3] = 255
+        assert (execute.READERS[ext](write(seen)) == seen).all(), ext
+        (tmp_path / f"x{ext}").write_bytes(write(seen))
+        row = read_rasters(spark, str(tmp_path / f"x{ext}")).first()  # Spark's decoder agrees
+        other = images.decode_png(to_png(bytes(row["data"]), row["width"], row["height"], row["channels"]))
+        assert (other[:, :, :3] == seen[:, :, :3]).all(), ext
+        half = p.copy()
+        half[:, :, 3] = r.choice([0, 255], half.shape[:2])
+        got = execute.READERS[ext](write(half))
+        assert (got[:, :, 3] == half[:, :, 3]).all() and (got[half[:, :, 3] > 0] == half[half[:, :, 3] > 0]).all(), ext
+        for action in ("resize", "grayscale", "blur", "convert_to_png", "convert_to_jpeg"):
+            out = {"convert_to_png": ".png", "convert_to_jpeg": ".jpg"}.get(action, "")
+            data, now = execute.run_steps(write(seen), ext, [Step(action, "image", {"percent": 50, "radius": 1.0}, out, "native")])
+            assert now == (out or ext) and execute.READERS[now](data).shape[:2] == ((4, 6) if action == "resize" else (9, 13))
+        with pytest.raises(images.Unsupported):
+            execute.READERS[ext](b"not one of them at all")
+    many = r.randint(0, 256, (60, 70, 4)).astype(np.uint8)
+    many[:, :, 3] = 255
+    got = execute.READERS[".gif"](execute.WRITERS[".gif"](many))
+    assert got.shape == many.shape and np.abs(got[:, :, :3].astype(int) - many[:, :, :3]).max() <= 26  # nearest of a cube
+    long = np.tile(np.arange(250, dtype=np.uint8), (300, 1))
+    assert (execute.READERS[".gif"](execute.WRITERS[".gif"](long))[:, :, 0] == long).all()  # more codes than the table holds
+
+
+def write_png(samples, depth, kind, filters, lace=False, extra=b""):
+    """A PNG from its definition. samples: (height, width, n)."""
+    import struct
+    import zlib
+
+    height, width, n = samples.shape
+    body = b""
+    for top, left, down, across in [(0, 0, 8, 8), (0, 4, 8, 8), (4, 0, 8, 4), (0, 2, 4, 4), (2, 0, 4, 2), (0, 1, 2, 2), (1, 0, 2, 1)] if lace else [(0, 0, 1, 1)]:
+        part = samples[top::down, left::across]
+        if not part.size:
+            continue
+        each = max(1, n * depth // 8)
+        above = None
+        for y, row in enumerate(part):
+            bits = "".join(format(int(v), f"0{depth}b") for v in row.ravel())
+            line = [int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8)]
+            up = above or [0] * len(line)
+            how = filters[y % len(filters)]
+            out = []
+            for x, v in enumerate(line):
+                a, b, c = line[x - each] if x >= each else 0, up[x], up[x - each] if x >= each else 0
+                p = a + b - c
+                guess = [0, a, b, (a + b) // 2, min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]][how]
+                out.append((v - guess) & 255)
+            body += bytes([how, *out])
+            above = line
+    chunk = lambda tag, data: struct.pack(">I", len(data)) + tag + data + struct.pack(">I", zlib.crc32(tag + data))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", width, height, depth, kind, 0, 0, int(lace))) + extra + chunk(b"IDAT", zlib.compress(body)) + chunk(b"IEND", b"")
+
+
+@pytest.mark.parametrize("depth, kind, n", [(8, 0, 1), (8, 2, 3), (8, 6, 4), (8, 4, 2), (16, 2, 3), (16, 0, 1), (1, 0, 1), (2, 0, 1), (4, 0, 1)])
+@pytest.mark.parametrize("lace", [False, True])
+def test_png_of_every_kind(depth, kind, n, lace):
+    r = np.random.RandomState(depth + n)
+    samples = r.randint(0, 1 << depth, (11, 13, n))
+    got = images.decode_png(write_png(samples, depth, kind, [4, 3, 2, 1, 0, 4, 4], lace))
+    eight = samples >> 8 if depth == 16 else samples * (255 // ((1 << depth) - 1))
+    assert (got[:, :, :3] == eight[:, :, : (3 if n >= 3 else 1)]).all()
+    assert (got[:, :, 3] == (eight[:, :, -1] if n in (2, 4) else 255)).all()
