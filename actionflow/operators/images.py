@@ -14,7 +14,7 @@ from actionflow.functions.paths import data_url
 
 PREVIEW_WIDTH = 520
 LANCZOS = 3
-LUMA = np.array([0.299, 0.587, 0.114])  # Rec. 601
+LUMA = np.array([299, 587, 114])  # Rec. 601, in thousandths: ties are the same everywhere
 
 
 class Unsupported(ValueError):
@@ -137,7 +137,7 @@ def resize_percent(pixels: np.ndarray, percent: float) -> np.ndarray:
 
 def grayscale(pixels: np.ndarray) -> np.ndarray:
     out = pixels.copy()
-    out[:, :, :3] = np.rint(pixels[:, :, :3] @ LUMA)[:, :, None]
+    out[:, :, :3] = ((pixels[:, :, :3].astype(np.int64) @ LUMA + 500) // 1000)[:, :, None]
     return out
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from actionflow.plans import catalog_oracles, file_oracles
+
 AS_OF = "TIMESTAMP '2024-01-31 00:00:00'"
 PATH = "regexp_replace(regexp_replace(url, '[?#].*$', ''), '^https?:/', '')"
 EXT = "lower(regexp_extract(path, '(\\.[^./]*)$', 1))"
@@ -50,23 +52,19 @@ FROM f ORDER BY boost + {fuzzy("cold wiget")} + CASE WHEN {types([".png"])} THEN
     "layer_merge": """WITH r AS (SELECT c_nationkey AS id, CASE WHEN c_custkey % 2 = 0 THEN 0 ELSE 1 END AS layer, c_name AS definition_path FROM customer
 UNION ALL SELECT s_nationkey, 2, s_name FROM supplier WHERE s_nationkey % 3 = 0)
 SELECT id, CAST(layer AS INT) AS layer, definition_path FROM r QUALIFY row_number() OVER (PARTITION BY id ORDER BY layer DESC, definition_path DESC) = 1""",
-    "validate_quarantine": f"WITH {PAGES}, e AS (SELECT page_id, CASE WHEN trim(base) = '' THEN 'missing name' WHEN trim(ext) = '' THEN 'missing ext' ELSE 'good' END AS verdict FROM f) SELECT verdict, count(*) AS files, min(page_id) AS first_id FROM e GROUP BY verdict",
     "permission_normalize": f"""WITH h AS (SELECT p_partkey AS id, list_sort(list_distinct(list_filter({PERMS}[1:p_size % 6 + 1], lambda x: x <> ''))) AS p FROM part),
 e AS (SELECT *, list_filter(p, lambda x: x IN ('files.anywhere', 'network', 'tools.exec.any', 'system')) AS v FROM h)
 SELECT id, coalesce(array_to_string(p, ','), '') AS permissions, coalesce(array_to_string(v, ','), '') AS elevated, len(v) > 0 AS needs_trust FROM e""",
-    "trust_gate": "SELECT doc_id, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "file_identity": f"WITH {PAGES} SELECT page_id, name, ext, regexp_replace(path, '/[^/]*$', '') AS folder FROM n",
     "distinct_types": f"WITH {PAGES} SELECT DISTINCT ext FROM f",
     "last_step": f"WITH {STEPS} SELECT l_orderkey, max_by(l_returnflag, i) AS l_returnflag, count(*) AS steps FROM s GROUP BY l_orderkey",
     "remove_step": f"WITH {TURNS} SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY i) - 1 AS step_index FROM s WHERE i <> 1",
-    "previous_step": f"WITH {TURNS} SELECT conv_id, turn, lag(role) OVER (PARTITION BY conv_id ORDER BY i) AS start_from FROM s",
     "replay_fold": f"""WITH {STEPS}, e AS (SELECT l_orderkey, i, CASE l_returnflag WHEN 'A' THEN '.png' WHEN 'R' THEN '.jpg' ELSE '' END AS e FROM s),
 g AS (SELECT l_orderkey, list_prepend('.heic', list(e ORDER BY i)) AS chain FROM e GROUP BY l_orderkey)
 SELECT l_orderkey, CAST(len(chain) - 1 AS BIGINT) AS steps, list_reduce(chain, lambda a, x: CASE WHEN x = '' THEN a ELSE x END) AS final_extension FROM g""",
     "selection_range": "SELECT doc_id AS id, source FROM documents WHERE doc_id BETWEEN 40 AND 120",
     "selection_invert": "SELECT doc_id AS id, n_chars FROM documents WHERE NOT n_chars > 1000",
     "selection_toggle": "SELECT doc_id AS id FROM documents WHERE (n_chars > 1000) <> (source = 'src0')",
-    "files_by_id": "SELECT doc_id AS id, doc_id AS position, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)",
     "upsert_files": "SELECT c_custkey AS id, c_name AS name, c_acctbal AS size FROM customer WHERE c_custkey NOT IN (SELECT s_suppkey * 3 FROM supplier) UNION ALL SELECT s_suppkey * 3, s_name, s_acctbal FROM supplier",
     "export_name": f"""WITH {PAGES}, a AS (SELECT page_id, name, ltrim(ext, '.') AS ext, CASE page_id % 3 WHEN 0 THEN 'heic_to_jpeg' WHEN 1 THEN 'blur' ELSE 'file' END AS action,
   CASE page_id % 4 WHEN 0 THEN '{{name}}_{{skill}}.{{ext}}' WHEN 1 THEN '{{name}}' WHEN 2 THEN '{{name}}-{{ext}}' ELSE '{{skill}}.{{ext}}' END AS pattern FROM n),
@@ -96,3 +94,4 @@ SELECT k AS id, given, CASE WHEN r <= 255 THEN r ELSE -1 END AS r, CASE WHEN r <
     "copied_names": "SELECT string_agg(n_name, chr(10) ORDER BY n_nationkey) AS text FROM nation",
     "usage_stream": "SELECT event_type AS skill_id, count(*) AS count, max(ts) AS last_used FROM events GROUP BY event_type",
 }
+ORACLES |= catalog_oracles.ORACLES | file_oracles.ORACLES

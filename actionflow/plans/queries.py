@@ -9,32 +9,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from actionflow.functions import params, paths, permissions, text
 from actionflow.operators import export, search, sequences
+from actionflow.plans import catalog_queries, file_queries  # noqa: F401  they register themselves
+from actionflow.plans.tables import QUERIES, query, table
 from actionflow.sources import catalog as catalogs
 
 AS_OF = "2024-01-31 00:00:00"
 CATEGORY = {"ECONOMY": "convert", "STANDARD": "transform", "SMALL": "compress", "MEDIUM": "filter", "LARGE": "meta"}
-QUERIES: dict = {}
-
-
-def query(f):
-    QUERIES[f.__name__] = f
-    return f
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 def _as_of():
     return F.lit(AS_OF).cast("timestamp")
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = _table(spark, sf_dir, "part")
+    part = table(spark, sf_dir, "part")
     category = F.lit("")
     for k, v in CATEGORY.items():
         category = F.when(F.col("p_type") == k, v).otherwise(category)
@@ -45,7 +34,7 @@ def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.usage_of(_table(spark, sf_dir, "events").select(F.col("user_id").alias("skill_id"), F.col("ts").alias("used_at")))
+    return search.usage_of(table(spark, sf_dir, "events").select(F.col("user_id").alias("skill_id"), F.col("ts").alias("used_at")))
 
 
 def _path(url: str = "url"):
@@ -97,80 +86,58 @@ def frecency(spark, sf_dir):
 
 @query
 def usage_counts(spark, sf_dir):
-    return search.usage_of(_table(spark, sf_dir, "events").select(F.col("event_type").alias("skill_id"), F.col("ts").alias("used_at")))
+    return search.usage_of(table(spark, sf_dir, "events").select(F.col("event_type").alias("skill_id"), F.col("ts").alias("used_at")))
 
 
 @query
 def layer_merge(spark, sf_dir):
     """Customers are two layers, suppliers the third; of each nation's the last name of the highest layer stays."""
-    c = _table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, 0).otherwise(1).alias("layer"), F.col("c_name").alias("definition_path"))
-    s = _table(spark, sf_dir, "supplier").where("s_nationkey % 3 = 0").select(F.col("s_nationkey").alias("id"), F.lit(2).alias("layer"), F.col("s_name").alias("definition_path"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("id"), F.when(F.col("c_custkey") % 2 == 0, 0).otherwise(1).alias("layer"), F.col("c_name").alias("definition_path"))
+    s = table(spark, sf_dir, "supplier").where("s_nationkey % 3 = 0").select(F.col("s_nationkey").alias("id"), F.lit(2).alias("layer"), F.col("s_name").alias("definition_path"))
     return catalogs.last_wins(c.unionByName(s))
 
 
-@query
-def validate_quarantine(spark, sf_dir):
-    d = _table(spark, sf_dir, "pages").select("page_id", F.trim(paths.base_name(_path())).alias("name"), F.trim(paths.extension(_path())).alias("ext"))
-    error = F.when(F.col("name") == "", "missing name").when(F.col("ext") == "", "missing ext")
-    return d.withColumn("error", error).groupBy(F.coalesce("error", F.lit("good")).alias("verdict")).agg(F.count("*").alias("files"), F.min("page_id").alias("first_id"))
-
-
 @query
 def permission_normalize(spark, sf_dir):
     names = F.array(*[F.lit(p) for p in ("tools.exec", "", "network", "files.read", "system", "tools.exec")])
-    part = _table(spark, sf_dir, "part")
+    part = table(spark, sf_dir, "part")
     held = F.slice(names, 1, (F.col("p_size") % 6 + 1).cast("int"))
     return part.select(F.col("p_partkey").alias("id"), F.array_join(permissions.normalized(held), ",").alias("permissions"), F.array_join(permissions.elevated(held), ",").alias("elevated"), permissions.needs_trust(held).alias("needs_trust"))
 
 
-@query
-def trust_gate(spark, sf_dir):
-    """Documents of toxic labels that no good label vouches for."""
-    labels = _table(spark, sf_dir, "labels")
-    asked = _table(spark, sf_dir, "documents").join(labels.where("toxic = 1").select("doc_id"), "doc_id", "left_semi")
-    return asked.join(labels.where("quality = 1").select("doc_id"), "doc_id", "left_anti").select("doc_id", "source")
-
-
 @query
 def file_identity(spark, sf_dir):
-    p = _table(spark, sf_dir, "pages").select("page_id", _path().alias("path"))
+    p = table(spark, sf_dir, "pages").select("page_id", _path().alias("path"))
     return p.select("page_id", paths.stem(F.col("path")).alias("name"), paths.extension(F.col("path")).alias("ext"), paths.parent(F.col("path")).alias("folder"))
 
 
 @query
 def distinct_types(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select(paths.extension(_path()).alias("ext")).distinct()
+    return table(spark, sf_dir, "pages").select(paths.extension(_path()).alias("ext")).distinct()
 
 
-def _order_steps(spark, sf_dir):
-    return sequences.indexed(_table(spark, sf_dir, "lineitem"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+ORDER = ("l_linenumber", "l_partkey", "l_suppkey")
 
 
 @query
 def last_step(spark, sf_dir):
-    return sequences.last_step(_order_steps(spark, sf_dir), "l_orderkey", "l_returnflag")
+    return sequences.last_step(table(spark, sf_dir, "lineitem"), "l_orderkey", "l_returnflag", *ORDER)
 
 
 @query
 def remove_step(spark, sf_dir):
-    steps = sequences.indexed(_table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    steps = sequences.indexed(table(spark, sf_dir, "conversations"), "conv_id", "turn")
     return sequences.without_step(steps, "conv_id", 1).select("conv_id", "turn", "role", F.col("step_index").cast("bigint").alias("step_index"))
 
 
-@query
-def previous_step(spark, sf_dir):
-    steps = sequences.indexed(_table(spark, sf_dir, "conversations"), "conv_id", "turn")
-    return steps.select("conv_id", "turn", F.lag("role").over(Window.partitionBy("conv_id").orderBy("step_index")).alias("start_from"))
-
-
 @query
 def replay_fold(spark, sf_dir):
     sets = F.when(F.col("l_returnflag") == "A", ".png").when(F.col("l_returnflag") == "R", ".jpg").otherwise("")
-    return sequences.folded_extensions(_order_steps(spark, sf_dir).withColumn("sets", sets), "l_orderkey", "sets", ".heic")
+    return sequences.folded_extensions(table(spark, sf_dir, "lineitem").withColumn("sets", sets), "l_orderkey", "sets", ".heic", *ORDER)
 
 
 def _documents(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("position"), "source", "n_chars")
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("doc_id").alias("position"), "source", "n_chars")
 
 
 @query
@@ -190,22 +157,16 @@ def selection_toggle(spark, sf_dir):
     return sequences.toggled(d.where("n_chars > 1000").select("id"), d.where("source = 'src0'").select("id"))
 
 
-@query
-def files_by_id(spark, sf_dir):
-    d = _documents(spark, sf_dir)
-    return d.join(_table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("id")), "id", "left_semi").select("id", "position", "source")
-
-
 @query
 def upsert_files(spark, sf_dir):
-    c = _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("size"))
-    s = _table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 3).alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("size"))
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"), F.col("c_acctbal").alias("size"))
+    s = table(spark, sf_dir, "supplier").select((F.col("s_suppkey") * 3).alias("id"), F.col("s_name").alias("name"), F.col("s_acctbal").alias("size"))
     return sequences.upserted(c, s)
 
 
 @query
 def export_name(spark, sf_dir):
-    p = _table(spark, sf_dir, "pages").select("page_id", _path().alias("path"))
+    p = table(spark, sf_dir, "pages").select("page_id", _path().alias("path"))
     action = F.when(F.col("page_id") % 3 == 0, "heic-to jpeg").when(F.col("page_id") % 3 == 1, "blur").otherwise("file")
     pattern = F.when(F.col("page_id") % 4 == 0, " ").when(F.col("page_id") % 4 == 1, "{name}").when(F.col("page_id") % 4 == 2, "{name}-{ext}").otherwise("{skill}.{ext}")
     return p.select("page_id", paths.export_name(pattern, paths.stem(F.col("path")), paths.extension(F.col("path")), action).alias("name"))
@@ -213,7 +174,7 @@ def export_name(spark, sf_dir):
 
 @query
 def export_collision(spark, sf_dir):
-    p = _table(spark, sf_dir, "pages").select("page_id", _path().alias("path"))
+    p = table(spark, sf_dir, "pages").select("page_id", _path().alias("path"))
     asked = p.select(F.regexp_extract("path", "^/([^/]*)", 1).alias("folder"), F.col("page_id").alias("position"), F.concat(F.regexp_extract("path", "/([a-z]+)/", 1), F.lit(".html")).alias("name"))
     there = asked.where("position % 100 = 0").select("folder", "name").distinct()
     return export.resolve(asked, there).select(F.col("position").alias("page_id"), "folder", "resolved")
@@ -221,7 +182,7 @@ def export_collision(spark, sf_dir):
 
 @query
 def output_ext(spark, sf_dir):
-    p = _table(spark, sf_dir, "part")
+    p = table(spark, sf_dir, "part")
     kind = F.when(F.col("p_size") % 2 == 0, "cli").otherwise("native")
     wanted = F.when(F.col("p_size") % 3 == 0, "").when(F.col("p_size") % 3 == 1, "none").otherwise(".JPG")
     own = F.when(F.col("p_size") % 5 == 0, "").when(F.col("p_size") % 5 == 1, ".WAV").otherwise("WAV")
@@ -229,7 +190,7 @@ def output_ext(spark, sf_dir):
 
 
 def _props(spark, sf_dir):
-    return _table(spark, sf_dir, "events").select("event_id", "event_type", "props", F.parse_json("props").alias("v"))
+    return table(spark, sf_dir, "events").select("event_id", "event_type", "props", F.parse_json("props").alias("v"))
 
 
 @query
@@ -249,7 +210,7 @@ def param_merge(spark, sf_dir):
 
 @query
 def template_render(spark, sf_dir):
-    p = _table(spark, sf_dir, "part")
+    p = table(spark, sf_dir, "part")
     given = F.create_map(F.lit("quality"), F.col("p_size").cast("string"), F.lit("name"), F.concat(F.col("p_brand"), F.lit("{{quality}}")))
     line = params.rendered(F.lit("{{input}} -q {{quality}} {{output}} {{name}} {{missing}}"), F.concat(F.lit("/in/"), F.col("p_name")), F.lit("/out"), given)
     return p.select(F.col("p_partkey").alias("id"), line.alias("line"))
@@ -257,14 +218,14 @@ def template_render(spark, sf_dir):
 
 @query
 def resize_dims(spark, sf_dir):
-    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 13).cast("double").alias("w"), (F.col("p_partkey") % 30 - 3).cast("double").alias("percent"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_size") * 13).cast("double").alias("w"), (F.col("p_partkey") % 30 - 3).cast("double").alias("percent"))
     side = lambda x: F.coalesce(params.resized(x, F.col("percent")), F.lit(-1))  # noqa: E731  -1: an error
     return p.select("id", side(F.col("w")).alias("width"), side(F.lit(3.0)).alias("height"))
 
 
 @query
 def color_parse(spark, sf_dir):
-    n, k = _table(spark, sf_dir, "nation"), F.col("n_nationkey")
+    n, k = table(spark, sf_dir, "nation"), F.col("n_nationkey")
     hexed = F.lpad(F.lower(F.hex((k * 31337).cast("bigint"))), 6, "0")
     given = F.when(k % 4 == 0, F.concat(F.lit("#"), hexed)).when(k % 4 == 1, F.concat(F.lit("#"), F.right(hexed, F.lit(3)))).when(k % 4 == 2, F.concat(F.lit("rgb("), k * 12, F.lit(", 2, 3)"))).otherwise(F.concat_ws(" ", k, k * 2, k * 3))
     rgb = params.colour(given)
@@ -273,37 +234,37 @@ def color_parse(spark, sf_dir):
 
 @query
 def preset_cycle(spark, sf_dir):
-    p, presets = _table(spark, sf_dir, "part"), F.array(*[F.lit(x) for x in (90, 75, 50, 25)])
+    p, presets = table(spark, sf_dir, "part"), F.array(*[F.lit(x) for x in (90, 75, 50, 25)])
     return p.select(F.col("p_partkey").alias("id"), params.next_preset(presets, (F.col("p_size") * 5).cast("int")).alias("next"))
 
 
 @query
 def typed_entry(spark, sf_dir):
-    p = _table(spark, sf_dir, "part")
+    p = table(spark, sf_dir, "part")
     raw = F.concat(F.col("p_size"), F.lit("px"))
     return p.select(F.col("p_partkey").alias("id"), *[params.typed(raw, F.lit(k)).alias(k) for k in ("int", "string")])
 
 
 @query
 def truncate_path(spark, sf_dir):
-    return _table(spark, sf_dir, "pages").select("page_id", paths.shortened(_path()).alias("short"))
+    return table(spark, sf_dir, "pages").select("page_id", paths.shortened(_path()).alias("short"))
 
 
 @query
 def snapshot_names(spark, sf_dir):
-    steps = sequences.indexed(_table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    steps = sequences.indexed(table(spark, sf_dir, "conversations"), "conv_id", "turn")
     return steps.select("conv_id", "turn", paths.snapshot_name(F.col("step_index"), F.lit(".png")).alias("name"))
 
 
 @query
 def action_labels(spark, sf_dir):
-    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name"), F.concat(F.col("p_type"), F.lit("_"), F.col("p_size")).alias("action"))
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name"), F.concat(F.col("p_type"), F.lit("_"), F.col("p_size")).alias("action"))
     return p.select("id", paths.action_label(F.when(F.col("id") % 2 == 0, F.col("p_name")), F.col("action")).alias("label"), paths.plural(F.col("id") % 3, "file", "files").alias("message"))
 
 
 @query
 def copied_names(spark, sf_dir):
-    return sequences.joined_lines(_table(spark, sf_dir, "nation"), "n_name", "n_nationkey")
+    return sequences.joined_lines(table(spark, sf_dir, "nation"), "n_name", "n_nationkey")
 
 
 @query
@@ -311,11 +272,3 @@ def usage_stream(spark, sf_dir):
     from actionflow.streaming.usage import count_once
 
     return count_once(spark, f"{sf_dir}/events.parquet", "event_type", "ts")
-
-
-@query
-def raster_thumbnails(spark, sf_dir):
-    """Embeddings as 8 by 8 rasters: PNG bytes, grey, half size and blurred, through the apply operator's kernels."""
-    from actionflow.operators.images import raster_report
-
-    return raster_report(_table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("values")))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
+
+from actionflow.sources import storage
 
 RASTER = [".png", ".jpg", ".jpeg", ".bmp", ".tif", ".tiff", ".gif"]
 HEIC = [".heic", ".heif"]
@@ -69,7 +70,5 @@ SHIPPED = [
 
 def write_shipped(folder: str) -> str:
     for d in SHIPPED:
-        path = Path(folder, "meta" if d["isMeta"] else "image", f"{d['id']}.json")
-        path.parent.mkdir(parents=True, exist_ok=True)
-        path.write_text(json.dumps({"version": "1.0.0", "author": "core"} | d, indent=2))
+        storage.put(f"{folder}/{'meta' if d['isMeta'] else 'image'}/{d['id']}.json", json.dumps({"version": "1.0.0", "author": "core"} | d, indent=2).encode())
     return folder

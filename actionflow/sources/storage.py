@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from urllib.parse import quote
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -13,9 +15,9 @@ def opened(path: str):
     """(file system, path in it)."""
     from pyarrow import fs
 
-    if "://" in path or path.startswith("file:"):
-        return fs.FileSystem.from_uri(path if "://" in path else "file://" + path.removeprefix("file:"))
-    return fs.LocalFileSystem(), os.path.abspath(path)
+    if "://" in path and not path.startswith("file:"):
+        return fs.FileSystem.from_uri(quote(path, safe="/:@?=&,+~!$'()*;"))  # names as they are, not as in a URI
+    return fs.LocalFileSystem(), os.path.abspath(re.sub("^file:(//)?", "", path))
 
 
 def readable(path: str) -> bool:

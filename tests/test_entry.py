@@ -7,7 +7,7 @@ import pandas as pd
 import pytest
 from actionflow.plans import oracles, queries
 
-BASE = "/root/testdata/sf0.001"
+BASE = os.environ.get("ACTIONFLOW_TEST_TABLES", "/root/testdata/sf0.001")
 
 
 def connect():
