@@ -38,3 +38,27 @@ def test_stages_against_brute_force(spark):
 
     whole = corpus_pipeline.run(spark, BASE)
     assert sorted(map(tuple, whole.select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in got)
+
+
+def test_nulls_ties_clashing_names_and_nothing(spark, tmp_path):
+    """Every stage on odd rows, with the results its docstring gives."""
+    good = [". ".join(f"the a{i}x{k} of b{k}y{i} and c{i + k} sat" for k in range(4 + i % 9)) + "." for i in range(60)]
+    junk = [" ".join(f"{'xyzw'[(i + k) % 4]}{k * i}###" for k in range(20 + i % 30)) for i in range(60)]
+    rows = [(i, t, "en", f"s{i % 3}") for i, t in enumerate(good)] + [(100 + i, t, "en", f"s{i % 3}") for i, t in enumerate(junk)]
+    odd = [(200, None, "en", "s1"), (201, "", None, None), (202, " \n\t", "en", "s1"), (203, good[5], None, None), (None, good[7], "en", "s0"), (3, good[3], "en", "s0"), (3, good[3], "en", "s0"), (204, good[9] + " " + "the cat sat on a mat near it. " * 20_000, "en", "s1")]
+    docs = spark.createDataFrame([(*r, len(r[1] or ""), "T", 1, "x") for r in rows + odd], "doc_id bigint, text string, lang string, source string, n_chars bigint, Text string, kept int, hash string")
+    spark.createDataFrame([(i, 1, 0) for i in range(60)] + [(100 + i, 0, 0) for i in range(60)] + [(None, 1, 0), (5, None, 0)], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    (_, classify), (_, rules), (_, dedup), (_, pack) = corpus_pipeline.STAGES
+    ids = lambda df: sorted(-1 if r.doc_id is None else r.doc_id for r in df.select("doc_id").collect())
+
+    one = classify(spark, docs, str(tmp_path))
+    assert one.columns == docs.columns and ids(one) == sorted([*range(60), 203, -1, 3, 3, 204])
+    two = rules(spark, one, str(tmp_path))
+    assert two.columns == docs.columns and ids(two) == sorted([*range(60), 203, -1, 3, 3])
+    three = dedup(spark, two, str(tmp_path))
+    left = ids(three)
+    assert three.columns == docs.columns and len(left) == len(set(left)) and set(left) <= set(range(60)) and {3, 5, 7} <= set(left)
+    placed = pack(spark, three, str(tmp_path)).collect()
+    assert {r.doc_id for r in placed} == set(left)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
