@@ -5,6 +5,16 @@ and returns a DataFrame; ``run`` applies them in order, each stage written as a
 Parquet table in the folder that the cluster shares and read again. All but the
 last return documents with their columns as they were. Every stage is judged on
 its own input: sites, hosts and groups are those of the documents it gets.
+
+Shingles have five words and documents are near at a similarity of 0.8, the operator's
+defaults; the query of that operator alone asks for four words, as its contract does.
+
+Defined results: documents with a null or empty text, or one of white space, are
+rejected by the first stage; null sources and languages are sites of their own; rows
+alike in everything are judged alike, and of those alike in id and text one goes on; a
+null id stays null to the end; an empty table gives no rows; columns besides those of
+``documents`` go through all stages but the last, whatever their names. A lost executor
+costs the work since the last table of its stage.
 """
 
 from __future__ import annotations

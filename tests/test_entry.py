@@ -1,4 +1,7 @@
 import os
+import shutil
+import subprocess
+import sys
 from pathlib import Path
 
 import __spark_entry__
@@ -45,3 +48,15 @@ def test_nothing_else_imports_the_corpus_operators():
     for p in root.rglob("*.py"):
         if "llm" not in p.relative_to(root).parts:
             assert "actionflow.llm" not in p.read_text(), p
+
+
+def test_the_rest_works_without_the_corpus_operators(tmp_path):
+    """A copy without them still imports, and offers all other queries; a broken import inside them isn't hidden."""
+    root = Path(__spark_entry__.__file__).parent
+    shutil.copytree(root, tmp_path / "copy", ignore=lambda folder, names: [n for n in names if n in (".git", "llm", "corpus_pipeline.py", "__pycache__", ".pytest_cache")])
+    ask = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()), 'pipeline' in e.queries(), any(n.startswith('op') and n[2].isdigit() for n in e.queries()))"
+    run = lambda: subprocess.run([sys.executable, "-c", ask], cwd=tmp_path / "copy", env=os.environ | {"PYTHONPATH": str(tmp_path / "copy")}, capture_output=True, text=True)
+    assert run().stdout.split() == [str(len(queries.QUERIES)), str(len(oracles.ORACLES)), "False", "False"]
+    (tmp_path / "copy" / "actionflow" / "llm").mkdir()
+    (tmp_path / "copy" / "actionflow" / "llm" / "queries.py").write_text("import no_such_module_at_all\n")
+    assert "no_such_module_at_all" in run().stderr
