@@ -56,7 +56,6 @@ LEAST_ESTIMATE = 0.6
 SET_BITS = 2048
 SET_LONGS = SET_BITS // 64
 LEADERS = 3  # pairs of a node in step 2; step 3 covers the rest
-WIDE = 4  # narrow rows that one with sketches counts for, when a table is cut into files
 TILE = 1000, 20_000  # of a bucket: members outside its largest component, and others, that meet in one place
 
 _seed = np.random.RandomState(20_231)
@@ -186,9 +185,9 @@ def _alike(a: str, b: str, percent: int) -> Column:
     return sizes & differ & (bits("s", SKETCH_LONGS) <= MOST_BITS)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int, nodes: int) -> DataFrame:
     """The pairs (u, v) whose full sets are similar enough. Nodes of very many pairs are spread."""
-    pairs = written(pairs, "pairs")
+    pairs = written(pairs, "pairs", nodes)
     many = pairs.count()
     right = sets.select(F.col("node").alias("v"), F.col("own").alias("sv"))
     left = sets.select(F.col("node").alias("u"), F.col("own").alias("su"))
@@ -224,14 +223,14 @@ def _groups(read: DataFrame, rows: DataFrame, words: int, percent: int) -> DataF
     key = F.struct(F.col("id").isNull().alias("no_id"), "id", "th")
     same = rows.where("n > 0").groupBy("c1", "c2").agg(F.min(key).alias("row"), F.count("*").alias("rows"), F.first("n").alias("n"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch"), F.first("parity").alias("parity"))
     many = rows.count()
-    nodes = written(same.withColumn("node", F.monotonically_increasing_id()), "nodes", WIDE * many)
+    nodes = written(same.withColumn("node", F.monotonically_increasing_id()), "nodes", many)
     member = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = member.groupBy("bucket").agg(F.count("*").alias("many"), F.min("node").alias("leader")).where("many > 1")
     member = written(member.join(shared, "bucket"), "members")
 
     slim = nodes.select("node", "n", *[F.element_at("sketch", k + 1).alias(f"s{k}") for k in range(SKETCH_LONGS)], *[F.element_at("parity", k + 1).alias(f"f{k}") for k in range(SET_LONGS)])
     busy = member.select("node").distinct()
-    slim = written(slim.join(busy, "node"), "sketches", WIDE * many)
+    slim = written(slim.join(busy, "node"), "sketches", many)
     wanted = nodes.join(busy, "node").select("node", "row.id", "row.th")
     hashed = read.select(F.col("id").alias("doc"), "text", F.xxhash64("text").alias("hash"))
     met = hashed.join(small_broadcast(wanted), F.col("doc").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("th")))
@@ -239,16 +238,16 @@ def _groups(read: DataFrame, rows: DataFrame, words: int, percent: int) -> DataF
     if rows.groupBy("id", "th").count().where("count > 1").limit(1).count():
         sets = sets.dropDuplicates(["node"])
 
-    votes = written(member.where("node != leader").groupBy("node", "leader").agg(F.count("*").alias("bands")).select(F.col("node").alias("u"), F.col("leader").alias("v"), "bands"), "votes")
+    votes = written(member.where("node != leader").groupBy("node", "leader").agg(F.count("*").alias("bands")).select(F.col("node").alias("u"), F.col("leader").alias("v"), "bands"), "votes", many)
     mine, theirs = slim.select("node", F.struct(*slim.columns).alias("a")), slim.select("node", F.struct(*slim.columns).alias("b"))
     voted = votes.join(mine.withColumnRenamed("node", "u"), "u")
     voted = salted_join(voted, theirs.withColumnRenamed("node", "v"), "v", "u", hot_keys(votes, "v", votes.count())).where(_alike("a", "b", percent)).select("u", "v", "bands")
     best = Window.partitionBy("u").orderBy(F.desc("bands"), "v")
     near = voted.withColumn("k", F.row_number().over(best)).where(F.col("k") <= LEADERS).select("u", "v")
-    first = components(_confirmed(near, sets, percent))
+    first = components(_confirmed(near, sets, percent, many))
 
     rest = _open_pairs(member, first, slim, percent)
-    links = first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(_confirmed(rest, sets, percent))
+    links = first.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(_confirmed(rest, sets, percent, many))
     final = components(links)
 
     known = nodes.select("node", "c1", "c2", "row", "rows").join(final, "node", "left").where("rows > 1 OR component IS NOT NULL").withColumn("component", F.coalesce("component", "node"))
