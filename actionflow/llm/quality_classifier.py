@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from actionflow.llm.rawtext import slices, windows
+from actionflow.llm.rawtext import mix, slices, windows
 from actionflow.llm.scratch import number_of, numbered, picked, restored, small_broadcast, written
 
 MOST_TRAINING_ROWS = 20_000
@@ -66,12 +66,14 @@ def _table(values: bytes) -> np.ndarray:
 
 
 _FLAGS = {k: _table(v) for k, v in _CLASSES.items()}
+_OF_CLASS = np.stack(list(_FLAGS.values()), 1).astype(np.int64)
 
 
 def _repeats(key: np.ndarray, doc: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """How many keys of each document equal an earlier one, and how many there are."""
-    order = np.lexsort((key, doc))
-    again = (key[order[1:]] == key[order[:-1]]) & (doc[order[1:]] == doc[order[:-1]])
+    own = mix(key + doc.astype(np.uint64))
+    order = np.argsort(own)
+    again = own[order[1:]] == own[order[:-1]]
     return np.bincount(doc[order[1:][again]], minlength=n), np.bincount(doc, minlength=n)
 
 
@@ -104,7 +106,7 @@ def features_of(part) -> np.ndarray:
         "repeated_lines": line_again / lines,
         "distinct_words": 1 - word_again / some,
         "symbol_ends": np.bincount(doc, ends, part.n) / some,
-    } | {k: part.per_doc(flags[part.data]) / size for k, flags in _FLAGS.items()}
+    } | dict(zip(_FLAGS, (part.byte_counts() @ _OF_CLASS).T / size, strict=True))
     return np.stack([found[f] for f in FEATURES], 1)
 
 

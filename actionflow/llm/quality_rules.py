@@ -79,7 +79,7 @@ def _of_slice(part) -> dict[str, np.ndarray]:
     return {
         "n_words": count(doc),
         "word_chars": part.per_doc(first_byte),
-        "n_symbols": part.per_doc(_SYMBOL[part.data]),
+        "n_symbols": part.byte_counts()[:, _SYMBOL].sum(axis=1),
         "n_dup_lines": count(line_doc) - count(distinct_doc),
         "n_repeat_words": count(doc[covered]),
         "n_lines": count(line_doc),

@@ -60,6 +60,13 @@ class Slice:
         np.cumsum(flags, out=total[1:])
         return total[self.at[1:]] - total[self.at[:-1]]
 
+    def byte_counts(self) -> np.ndarray:
+        """How often each document has each of the 256 bytes."""
+        out = np.zeros((self.n, 256), np.int64)
+        for i, (a, b) in enumerate(zip(self.at[:-1].tolist(), self.at[1:].tolist(), strict=True)):
+            out[i] = np.bincount(self.data[a:b], minlength=256)
+        return out
+
     def doc_of(self, position: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.at, position, "right") - 1
 
@@ -134,7 +141,7 @@ def classes(key: np.ndarray, same: Callable[[np.ndarray, np.ndarray], np.ndarray
     Equal items have equal keys. Items with equal keys are compared with their
     neighbours in sorted order; only where those differ one by one.
     """
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     new = np.ones(len(key), bool)
     new[1:] = key[order[1:]] != key[order[:-1]]
     number = np.empty(len(key), np.int64)
