@@ -48,15 +48,35 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_made: list[str] = []  # folders of this process, oldest first
+
+
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/table-{uuid.uuid4().hex}/{name}"
+    folder = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    _made.append(folder)
+    return f"{folder}/{name}"
+
+
+def mark() -> int:
+    """A place in the list of tables made, for ``clear``."""
+    return len(_made)
+
+
+def clear(spark: SparkSession, since: int, keep: DataFrame | None = None) -> None:
+    """Deletes the tables made since a mark, but what ``keep`` was read from. What hasn't been run yet may need them: call it when all has."""
+    kept = "\n".join(keep.inputFiles()) if keep is not None else ""
+    stay = [folder for folder in _made[since:] if folder.rpartition("/")[2] in kept]
+    for folder in set(_made[since:]) - set(stay):
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    _made[since:] = stay
 
 
 def written(df: DataFrame, name: str, most_rows: int | None = None) -> DataFrame:
     """The same rows, read back from a Parquet table in the shared folder.
 
     Cuts the lineage: what follows survives the loss of any executor and doesn't
-    compute ``df`` again. The table stays until the owner of the folder clears it.
+    compute ``df`` again. The table stays until it is cleared, by ``clear`` or the owner of the folder.
     most_rows: if it is known how many narrow rows there are at most, the table gets
     a file for each ROWS_PER_FILE of them instead of one for each partition.
     """

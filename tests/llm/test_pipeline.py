@@ -1,5 +1,6 @@
 import corpus_pipeline
 import numpy as np
+from actionflow.llm import scratch
 from actionflow.llm.packing import cuts, default_tokenizer, encoder
 
 from tests.llm.test_near_duplicates import brute as brute_groups
@@ -36,7 +37,9 @@ def test_stages_against_brute_force(spark):
     np.add.at(filled, [r.sequence_id for r in got], [r.length for r in got])
     assert filled.max() <= 1024 and filled.min() > 0
 
+    start = scratch.mark()
     whole = corpus_pipeline.run(spark, BASE)
+    assert scratch.mark() == start + 1  # only the result's table is left
     assert sorted(map(tuple, whole.select("doc_id", "piece", "length", "ids_crc32").collect())) == sorted((r.doc_id, r.piece, r.length, r.ids_crc32) for r in got)
 
 
