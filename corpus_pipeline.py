@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from actionflow.llm import near_duplicates, packing, quality_classifier, quality_rules
-from actionflow.llm.scratch import bounded_batches, written
+from actionflow.llm.scratch import bounded_batches, clear, mark, written
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,7 +58,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """Once a stage's result is a table, all tables behind it are deleted: the folder holds what two stages need at most."""
+    docs, start = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "_"))
+        clear(spark, start, keep=docs)
     return docs
