@@ -1,4 +1,4 @@
-"""Baseline JPEG in numpy: an encoder with Huffman codes fitted to the image, and a decoder."""
+"""JPEG in numpy: a baseline encoder with Huffman codes fitted to the image, and a decoder of baseline and progressive files."""
 
 from __future__ import annotations
 
@@ -171,11 +171,105 @@ class _Bits:
         return v if not n or v >> (n - 1) else v - (1 << n) + 1
 
 
+def _scan_end(data: bytes, at: int) -> int:
+    """Where the next marker is that isn't a restart."""
+    while True:
+        at = data.find(b"\xff", at)
+        if at < 0 or at + 1 >= len(data):
+            return len(data)
+        if data[at + 1] and not 0xD0 <= data[at + 1] <= 0xD7 and data[at + 1] != 0xFF:
+            return at
+        at += 1
+
+
+class _Scan:
+    """One scan: which coefficients of which components it has, and how they are coded.
+
+    band: first and last coefficient; bit: the lowest bit it gives; again: if it only
+    adds that bit to what earlier scans gave.
+    """
+
+    def __init__(self, body: bytes, tables: dict, progressive: bool, band: tuple[int, int], bit: int, again: bool) -> None:
+        self.bits, self.tables, self.progressive, self.band, self.bit, self.again = _Bits(body), tables, progressive, band, bit, again
+        self.before: dict[int, int] = {}
+        self.empty = 0  # blocks to come without new coefficients
+
+    def restart(self) -> None:
+        bits = self.bits
+        bits.n = 0
+        while bits.data[bits.at] != 0xFF or not 0xD0 <= bits.data[bits.at + 1] <= 0xD7:
+            bits.at += 1
+        bits.at += 2
+        self.before, self.empty = {}, 0
+
+    def block(self, block: np.ndarray, k: int, use: int) -> None:
+        """Adds to the coefficients of a block of component k."""
+        first, last = self.band
+        if first == 0:
+            if self.again:
+                block[0] |= self.bits.one() << self.bit
+            else:
+                self.before[k] = self.before.get(k, 0) + self.bits.value(self.bits.symbol(self.tables[use >> 4]))
+                block[0] = self.before[k] << self.bit
+            if not self.progressive:
+                self._new(block, 1, 63, self.tables[0x10 | use & 15])
+        elif self.again:
+            self._refined(block, first, last, self.tables[0x10 | use & 15])
+        elif self.empty:
+            self.empty -= 1
+        else:
+            self._new(block, first, last, self.tables[0x10 | use & 15])
+
+    def _new(self, block: np.ndarray, at: int, last: int, table: dict) -> None:
+        bits = self.bits
+        while at <= last:
+            zeros, size = divmod(bits.symbol(table), 16)
+            if size:
+                at += zeros
+                block[min(at, 63)] = bits.value(size) * (1 << self.bit)
+            elif zeros < 15:
+                self.empty = (1 << zeros) - 1 + bits.take(zeros)
+                return
+            else:
+                at += 15
+            at += 1
+
+    def _refined(self, block: np.ndarray, at: int, last: int, table: dict) -> None:
+        bits, step = self.bits, 1 << self.bit
+
+        def corrected(at: int, zeros: int) -> int:
+            """Gives known coefficients their next bit, up to where so many zeros have been passed."""
+            while at <= last:
+                if block[at]:
+                    if bits.one():
+                        block[at] += step if block[at] > 0 else -step
+                elif zeros == 0:
+                    break
+                else:
+                    zeros -= 1
+                at += 1
+            return at
+
+        while not self.empty and at <= last:
+            zeros, size = divmod(bits.symbol(table), 16)
+            if not size and zeros < 15:
+                self.empty = (1 << zeros) + bits.take(zeros)
+                break
+            new = (step if bits.one() else -step) if size else 0
+            at = corrected(at, zeros)
+            if new and at <= last:
+                block[at] = new
+            at += 1
+        if self.empty:
+            corrected(at, 64)
+            self.empty -= 1
+
+
 def decode(data: bytes) -> np.ndarray:
-    """(height, width, 4) of a baseline JPEG of one or three components."""
+    """(height, width, 4) of a baseline or progressive JPEG of one or three components."""
     if data[:2] != b"\xff\xd8":
         raise Unsupported("not a JPEG")
-    at, steps, tables, frame, restart = 2, {}, {}, None, 0
+    at, steps, tables, restart, planes = 2, {}, {}, 0, None
     while at < len(data):
         if data[at] != 0xFF:
             raise Unsupported("a JPEG marker is missing")
@@ -183,8 +277,11 @@ def decode(data: bytes) -> np.ndarray:
         if mark == 0xFF:
             at += 1
             continue
+        if mark == 0xD9:
+            break
         size = struct.unpack(">H", data[at + 2 : at + 4])[0]
         part = data[at + 4 : at + 2 + size]
+        at += 2 + size
         if mark == 0xDB:
             while part:
                 wide = part[0] >> 4
@@ -201,57 +298,49 @@ def decode(data: bytes) -> np.ndarray:
                     k += many
                 tables[part[0]] = {c: s for s, c in codes(table).items()}
                 part = part[17 + k :]
-        elif mark in (0xC0, 0xC1):
-            frame = struct.unpack(">BHHB", part[:6]), [tuple(part[6 + 3 * i : 9 + 3 * i]) for i in range(part[5])]
-        elif 0xC2 <= mark <= 0xCF and mark != 0xC8 and mark != 0xCC:
-            raise Unsupported("a JPEG that isn't baseline")
+        elif mark in (0xC0, 0xC1, 0xC2):
+            depth, height, width, many = struct.unpack(">BHHB", part[:6])
+            parts = [tuple(part[6 + 3 * i : 9 + 3 * i]) for i in range(many)]
+            if depth != 8 or many not in (1, 3) or not height or not width:
+                raise Unsupported("a JPEG of another kind")
+            if many == 1:
+                parts = [(parts[0][0], 0x11, parts[0][2])]
+            progressive = mark == 0xC2
+            across, down = max(p[1] >> 4 for p in parts), max(p[1] & 15 for p in parts)
+            columns, rows = -(-width // (8 * across)), -(-height // (8 * down))
+            planes = [np.zeros((rows * (p[1] & 15), columns * (p[1] >> 4), 64), int) for p in parts]
+        elif 0xC3 <= mark <= 0xCF and mark != 0xC8 and mark != 0xCC:
+            raise Unsupported("a JPEG that is neither baseline nor progressive")
         elif mark == 0xDD:
             restart = struct.unpack(">H", part)[0]
         elif mark == 0xDA:
-            scan, body = part, data[at + 2 + size :]
-            break
-        at += 2 + size
-    else:
-        raise Unsupported("a JPEG without a scan")
-    if frame is None or frame[0][0] != 8 or len(frame[1]) not in (1, 3) or scan[0] != len(frame[1]):
-        raise Unsupported("a JPEG of another kind")
-    (_, height, width, _), parts = frame
-    if len(parts) == 1:
-        parts = [(parts[0][0], 0x11, parts[0][2])]
-    use = {scan[1 + 2 * i]: scan[2 + 2 * i] for i in range(scan[0])}
-    across, down = max(p[1] >> 4 for p in parts), max(p[1] & 15 for p in parts)
-    columns, rows = -(-width // (8 * across)), -(-height // (8 * down))
-    planes = [np.zeros((rows * (p[1] & 15), columns * (p[1] >> 4), 64)) for p in parts]
-    bits, before = _Bits(body), [0] * len(parts)
-    for unit in range(rows * columns):
-        if restart and unit and unit % restart == 0:
-            bits.n = 0
-            while bits.data[bits.at] != 0xFF or not 0xD0 <= bits.data[bits.at + 1] <= 0xD7:
-                bits.at += 1
-            bits.at += 2
-            before = [0] * len(parts)
-        y, x = divmod(unit, columns)
-        for k, (name, shape, q) in enumerate(parts):
-            h, v = shape >> 4, shape & 15
-            dc, ac = tables[use[name] >> 4], tables[0x10 | use[name] & 15]
-            for i in range(v):
-                for j in range(h):
-                    block = np.zeros(64, int)
-                    before[k] += bits.value(bits.symbol(dc))
-                    block[0] = before[k]
-                    at = 1
-                    while at < 64:
-                        s = bits.symbol(ac)
-                        if s == 0:
-                            break
-                        at += s >> 4
-                        if s & 15:
-                            block[min(at, 63)] = bits.value(s & 15)
-                        at += 1
-                    planes[k][y * v + i, x * h + j, ZIGZAG] = block * steps[q]
+            if planes is None:
+                raise Unsupported("a JPEG scan without a frame")
+            end = _scan_end(data, at)
+            use = {part[1 + 2 * i]: part[2 + 2 * i] for i in range(part[0])}
+            first, last, bit = part[1 + 2 * part[0] :][:3]
+            scan = _Scan(data[at:end], tables, progressive, (first, last) if progressive else (0, 63), bit & 15 if progressive else 0, progressive and bit >> 4 > 0)
+            mine = [(k, p) for k, p in enumerate(parts) if p[0] in use]
+            if len(mine) == 1:  # its blocks one by one, without those that only fill up the others'
+                k, (name, shape, _) = mine[0]
+                wide = -(-(-(-width * (shape >> 4) // across)) // 8)
+                high = -(-(-(-height * (shape & 15) // down)) // 8)
+                units = [[(k, use[name], y, x)] for y in range(high) for x in range(wide)]
+            else:
+                units = [[(k, use[name], y * (shape & 15) + i, x * (shape >> 4) + j) for k, (name, shape, _) in mine for i in range(shape & 15) for j in range(shape >> 4)] for y in range(rows) for x in range(columns)]
+            for n, unit in enumerate(units):
+                if restart and n and n % restart == 0:
+                    scan.restart()
+                for k, tabled, y, x in unit:
+                    scan.block(planes[k][y, x], k, tabled)
+            at = end
+    if planes is None:
+        raise Unsupported("a JPEG without a picture")
     full = []
-    for (_, shape, _), p in zip(parts, planes, strict=True):
-        spatial = DCT.T @ p.reshape(*p.shape[:2], 8, 8) @ DCT
+    for (_, shape, q), p in zip(parts, planes, strict=True):
+        square = np.zeros(p.shape)
+        square[:, :, ZIGZAG] = p * steps[q]
+        spatial = DCT.T @ square.reshape(*p.shape[:2], 8, 8) @ DCT
         flat = spatial.transpose(0, 2, 1, 3).reshape(p.shape[0] * 8, p.shape[1] * 8)
         full.append(np.repeat(np.repeat(flat, down // (shape & 15), 0), across // (shape >> 4), 1)[:height, :width])
     out = np.full((height, width, 4), 255, np.uint8)

@@ -136,6 +136,45 @@ def test_jpeg(spark, tmp_path):
     assert ext == ".png" and images.decode_png(data).shape[:2] == (10, 18)
 
 
+def java_jpeg(spark, pixels, path, progressive):
+    """A JPEG by Java's encoder."""
+    jvm = spark._jvm
+    height, width = pixels.shape[:2]
+    image = jvm.java.awt.image.BufferedImage(width, height, 1)
+    for y in range(height):
+        for x in range(width):
+            r, g, b = (int(v) for v in pixels[y, x, :3])
+            image.setRGB(x, y, (r << 16 | g << 8 | b) - (1 << 24))
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    out = jvm.javax.imageio.ImageIO.createImageOutputStream(jvm.java.io.File(path))
+    writer.setOutput(out)
+    how = writer.getDefaultWriteParam()
+    how.setProgressiveMode(1 if progressive else 0)
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), how)
+    out.close()
+    writer.dispose()
+
+
+@pytest.mark.parametrize("progressive", [False, True])
+def test_jpegs_of_another_encoder(spark, tmp_path, progressive):
+    r = np.random.RandomState(7)
+    y, x = np.mgrid[0:37, 0:45]
+    smooth = np.stack([x * 5, y * 6, 255 - x * 3 - y], 2).clip(0, 255).astype(np.uint8)
+    for k, p in enumerate((smooth, r.randint(0, 256, (19, 33, 3)).astype(np.uint8), np.full((8, 8, 3), 200, np.uint8))):
+        path = str(tmp_path / f"{k}.jpg")
+        java_jpeg(spark, p, path, progressive)
+        data = open(path, "rb").read()
+        assert (b"\xff\xc2" in data) == progressive
+        got = jpeg.decode(data)
+        row = read_rasters(spark, path).first()
+        other = images.decode_png(to_png(bytes(row["data"]), row["width"], row["height"], row["channels"]))
+        # the other decoder draws out halved colours smoothly, this one repeats them: what they have in common is the brightness
+        light = lambda a: a[:, :, :3] @ np.array([0.299, 0.587, 0.114])
+        assert np.abs(light(got.astype(float)) - light(other.astype(float))).mean() < (1.5 if k != 1 else 12), k
+        if k == 2:
+            assert np.abs(got[:, :, :3].astype(int) - 200).max() <= 2
+
+
 def test_image_source(spark, tmp_path):
     p = np.random.RandomState(0).randint(0, 256, (5, 4, 3)).astype(np.uint8)
     (tmp_path / "a.png").write_bytes(images.encode_png(p))
