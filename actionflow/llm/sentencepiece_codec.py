@@ -26,7 +26,10 @@ each byte that puts a space before a text.
 from __future__ import annotations
 
 import re
+import zlib
+from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -35,9 +38,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from actionflow.llm.rawtext import U, mix
+from actionflow.llm.scratch import picked
 
 SPACE = "▁"
 BLOCK_CHARS = 400_000
+BATCH_BYTES = 8 << 20  # of texts that are encoded together
 PAIR_PLACES = 1 << 21
 MEMO_CHUNKS, MEMO_CHARS = 150_000, 24  # chunks of earlier batches that a worker remembers
 
@@ -134,7 +139,7 @@ def suffix_array(codes: np.ndarray, depth: int) -> np.ndarray:
         if reach < n:
             after[: n - reach] = rank[reach:]
         key = rank * (int(rank.max(initial=0)) + 1) + after if reach > 1 or n == 0 else rank * (1 << 21) + after
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         new = np.empty(n, np.int64)
         sorted_key = key[order]
         new[order] = np.cumsum(np.concatenate([[1], (sorted_key[1:] != sorted_key[:-1]).astype(np.int64)])) if n else 0
@@ -192,10 +197,10 @@ def _encode_block(m: Model, chunks: list[str]) -> list[list[int]]:
     start, piece = occurrences(codes, suffix_array(codes, m.longest), m.table, m.lengths)
     sizes = np.array([len(c) for c in chunks])
     first = np.cumsum(sizes + 1) - sizes - 1
-    own = np.searchsorted(first, start, "right") - 1  # the chunk of an edge
+    own = np.repeat(np.arange(len(chunks)), sizes + 1)[start]  # the chunk of an edge
     end = start + m.lengths[piece]
     offset = end - first[own]
-    by_end = np.lexsort((start, offset))
+    by_end = np.argsort((offset << 32) | start)
     start, end, piece, offset, head = start[by_end], end[by_end], piece[by_end], offset[by_end], first[own[by_end]]
     last = np.full(len(text) + 1, -1, np.int64)
     level = np.searchsorted(offset, np.arange(1, int(sizes.max()) + 2))
@@ -207,22 +212,54 @@ def _encode_block(m: Model, chunks: list[str]) -> list[list[int]]:
             q = last[s[later]]
             ok[later] = (q >= 0) & m.follow(np.maximum(q, 0), p[later])
         last[e[ok]] = p[ok]
-    ids, size, path_of = m.piece_ids.tolist(), m.lengths.tolist(), last.tolist()
-    out = []
-    for c, at0 in zip(chunks, first.tolist(), strict=True):
-        at, path = at0 + len(c), []
-        while at > at0:
-            p = path_of[at]
-            path.append(ids[p])
-            at -= size[p]
-        out.append(path[::-1])
-    return out
+    return _walked_back(m, last, first, first + sizes)
+
+
+def _walked_back(m: Model, last: np.ndarray, first: np.ndarray, end: np.ndarray) -> list[list[int]]:
+    """The ids of each chunk, from its end back to its start; one step for all chunks at a time while they are many."""
+    at, live = end.copy(), np.arange(len(end))
+    owners, pieces = [], []
+    while len(live) > 64:
+        p = last[at[live]]
+        owners.append(live)
+        pieces.append(p)
+        at[live] -= m.lengths[p]
+        live = live[at[live] > first[live]]
+    size, rest = m.lengths, []
+    for c in live.tolist():  # the few that are long
+        here, start = int(at[c]), int(first[c])
+        while here > start:
+            p = int(last[here])
+            rest.append((c, p))
+            here -= int(size[p])
+    if rest:
+        own, p = np.array(rest).T
+        owners.append(own)
+        pieces.append(p)
+    own, p = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (owners, pieces))
+    order = np.argsort(own, kind="stable")[::-1]  # chunks from the last on, each in reading order
+    ids = m.piece_ids[p[order]].tolist()
+    many = np.bincount(own, minlength=len(end))[::-1].tolist()
+    out, k = [], 0
+    for n in many:
+        out.append(ids[k : k + n])
+        k += n
+    return out[::-1]
+
+
+class _Numbers(dict):
+    """Numbers chunks as they are asked for."""
+
+    def __missing__(self, chunk: str) -> int:
+        self[chunk] = n = len(self)
+        return n
 
 
 def encode_batch(m: Model, texts: list[str | None]) -> list[np.ndarray]:
     """The ids of every text of a batch. A space is put before a text, as the model was made with."""
     cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-    number: dict[str, int] = {}
+    number = _Numbers()
+    numbered = number.__getitem__
     rows: list[list[int]] = []
     strange: dict[int, list[int]] = {}
     for t in texts:
@@ -231,12 +268,12 @@ def encode_batch(m: Model, texts: list[str | None]) -> list[np.ndarray]:
             t = SPACE + t.replace(" ", SPACE)
             at = 0
             for hit in m.outside.finditer(t):
-                row += [number.setdefault(c, len(number)) for c in cut.findall(t[at : hit.start()])]
-                k = number.setdefault("\0" + hit[0], len(number))
+                row += map(numbered, cut.findall(t[at : hit.start()]))
+                k = number["\0" + hit[0]]
                 strange[k] = [m.byte_id[b] for b in hit[0].encode()]
                 row.append(k)
                 at = hit.end()
-            row += [number.setdefault(c, len(number)) for c in cut.findall(t[at:])]
+            row += map(numbered, cut.findall(t[at:] if at else t))
         rows.append(row)
     done: list[list[int]] = [m.memo.get(c) for c in number]  # type: ignore[misc]
     todo = [c for c, k in number.items() if done[k] is None and k not in strange]
@@ -246,8 +283,8 @@ def encode_batch(m: Model, texts: list[str | None]) -> list[np.ndarray]:
             m.memo[c] = ids
     for k, ids in strange.items():
         done[k] = ids
-    flat = np.array([i for ids in done for i in ids], np.int32)
-    size = np.array([len(ids) for ids in done], np.int64)
+    size = np.fromiter(map(len, done), np.int64, len(done))
+    flat = np.fromiter(chain.from_iterable(done), np.int32, int(size.sum()))
     at = np.cumsum(size) - size
     out = []
     for row in rows:
@@ -260,6 +297,11 @@ def encode_batch(m: Model, texts: list[str | None]) -> list[np.ndarray]:
 
 def decode_one(m: Model, ids: list[int]) -> str:
     """Pieces joined, byte ids as UTF-8 (what is no UTF-8 becomes the replacement sign, byte by byte), the leading space dropped."""
+    spoken = m.spoken
+    try:
+        return "".join(map(spoken.__getitem__, ids)).removeprefix(" ")
+    except TypeError:  # there are byte ids among them
+        pass
     out: list[str] = []
     held = bytearray()
 
@@ -272,7 +314,6 @@ def decode_one(m: Model, ids: list[int]) -> str:
                 out.append(held[: e.start].decode() + "\ufffd")
                 del held[: e.start + 1]
 
-    spoken = m.spoken
     for i in ids:
         piece = spoken[i]
         if piece is None:
@@ -310,21 +351,34 @@ def decoded(ids: Column, path: str | None = None) -> Column:
     return text(ids)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], column: int, most: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Batches joined until a column of theirs has about ``most`` bytes: what comes together shares its chunks."""
+    held, size = [], 0
+    for batch in batches:
+        held.append(batch)
+        size += batch.column(column).nbytes
+        if size >= most:
+            yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+            held, size = [], 0
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()
+
+
 def round_trip(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", path: str | None = None) -> DataFrame:
     """doc_id, n_ids, ids_crc32 (little-endian 32-bit ids) and if decoding gives the text back."""
-    import zlib
-
     path = path or default_model()
-    kind = T.StructType([T.StructField("n_ids", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType())])
-
-    @F.arrow_udf(kind)
-    def digest(text: pa.Array) -> pa.Array:
-        m, n, crc, same = model(path), [], [], []
-        texts = text.to_pylist()
-        for t, ids in zip(texts, encode_batch(m, texts), strict=True):
-            n.append(len(ids))
-            crc.append(zlib.crc32(ids.astype("<i4").tobytes()))
-            same.append(decode_one(m, ids.tolist()) == (t or ""))
-        return pa.StructArray.from_arrays([pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], kind.names)
-
-    return docs.select(F.col(f"`{doc_id}`").alias("doc_id"), digest(F.col(f"`{text}`")).alias("d")).select("doc_id", "d.*")
+    read = picked(docs, doc_id=doc_id, text=text)
+    kind = T.StructType([read.schema["doc_id"], T.StructField("n_ids", T.LongType()), T.StructField("ids_crc32", T.LongType()), T.StructField("round_trip", T.BooleanType())])
+
+    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = model(path)
+        for batch in gathered(batches, 1):
+            n, crc, same = [], [], []
+            texts = batch.column(1).to_pylist()
+            for t, ids in zip(texts, encode_batch(m, texts), strict=True):
+                n.append(len(ids))
+                crc.append(zlib.crc32(ids.astype("<i4").tobytes()))
+                same.append(decode_one(m, ids.tolist()) == (t or ""))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(crc, pa.int64()), pa.array(same, pa.bool_())], kind.names)
+
+    return read.mapInArrow(digest, kind)
