@@ -13,7 +13,8 @@ so a payload that a third of all rows share is one row for each task.
 
 Reading: an archive is decompressed as a stream. A payload is never held whole:
 each ``chunk_bytes`` of it are a row of record id and chunk number, with the SHA-1
-of the payload up to there, so the last row of a record carries its digest. An
+of the payload up to there, so the last row of a record carries its digest. Records
+of other types, such as the one about the archive that each begins with, are passed over. An
 archive that ends inside a record, or holds other than the number of records that the
 manifest has for it, is an error: nothing is read as complete that isn't.
 
@@ -42,6 +43,7 @@ REVISIT_BYTES = 1000
 CHUNK_BYTES = 256 << 10
 ARCHIVE_BYTES = 1 << 30
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+INFO = b"format: WARC File Format 1.1\r\nconformsTo: http://iipc.github.io/warc-specifications/specifications/warc-format/warc-1.1/\r\n"
 HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 
 MANIFEST = "archive string, records bigint, bytes bigint"
@@ -87,20 +89,25 @@ def _hex(labelled: str) -> str:
 class _Archive:
     """An archive being written; one gzip member for each record."""
 
-    def __init__(self, folder: str, block: int) -> None:
+    def __init__(self, folder: str, block: int, date: str) -> None:
         self.uri = f"{folder}/{block:06d}-{uuid.uuid4().hex}.warc.gz"
         system, path = _open(self.uri)
         system.create_dir(path.rpartition("/")[0], recursive=True)
         self.out, self.records, self.bytes = system.open_output_stream(path, compression=None), 0, 0
+        name = f"urn:uuid:{uuid.uuid4()}"
+        self._record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", f"<{name}>"), ("WARC-Date", date), ("WARC-Filename", self.uri.rpartition("/")[2]), ("Content-Type", "application/warc-fields")], INFO, memoryview(b""))
 
     def add(self, head: list[tuple[str, str]], start: bytes, payload: memoryview) -> None:
+        self._record(head, start, payload)
+        self.records += 1
+
+    def _record(self, head: list[tuple[str, str]], start: bytes, payload: memoryview) -> None:
         packer = zlib.compressobj(1, zlib.DEFLATED, 31)
         lines = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in [*head, ("Content-Length", str(len(start) + len(payload)))]) + "\r\n"
         parts = [lines.encode(), start, *(payload[i : i + CHUNK_BYTES] for i in range(0, len(payload), CHUNK_BYTES)), b"\r\n\r\n"]
         for part in parts:
             self._put(packer.compress(part))
         self._put(packer.flush())
-        self.records += 1
 
     def _put(self, data: bytes) -> None:
         if data:
@@ -140,7 +147,7 @@ def write(pages: DataFrame, folder: str, record_id: str = "page_id", uri: str =
         for batch in batches:
             ids, uris, digests, refers = (batch.column(k).to_pylist() for k in (0, 1, 3, 4))
             for i, body in enumerate(_binary(batch.column(2))):
-                archive = archive or _Archive(folder, TaskContext.get().partitionId())
+                archive = archive or _Archive(folder, TaskContext.get().partitionId(), date)
                 head = [
                     ("WARC-Type", "response" if refers[i] is None else "revisit"),
                     ("WARC-Record-ID", _urn(ids[i])),
@@ -215,6 +222,15 @@ def records(source, chunk_bytes: int = CHUNK_BYTES, keep_chunks: bool = True) ->
             raise ValueError(f"no WARC record where one should start: {version[:40]!r}")
         field = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
         left = int(field["content-length"])
+        if field["warc-type"] not in ("response", "revisit"):  # about the archive, not of it
+            while left:
+                part = stream.take(min(chunk_bytes, left))
+                if not part:
+                    raise ValueError("the archive ends inside a record about it")
+                left -= len(part)
+            if stream.take(4) != b"\r\n\r\n":
+                raise ValueError("a record about the archive doesn't end where its length says")
+            continue
         http = stream.until(b"\r\n\r\n")
         if http is None:
             raise ValueError("the archive ends behind a header")
