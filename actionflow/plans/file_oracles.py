@@ -44,6 +44,9 @@ SELECT id AS position, CASE WHEN kind = 3 AND NOT broken THEN '.jpg' ELSE '.png'
 k AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY n_nationkey) - 1 + CASE WHEN name = 'ASIA_file' THEN 1 ELSE 0 END AS k FROM n)
 SELECT name || CASE WHEN k = 0 THEN '' ELSE '-' || k END || '.txt' AS file, n_name AS content FROM k UNION ALL SELECT 'ASIA_file.txt', 'was here'""",
     "kept_trust": "SELECT n_name AS skill_id, '1,2,3' AS accent_color, '{name}_{skill}.{ext}' AS naming_pattern FROM nation WHERE n_regionkey = 1",
+    "drop_folder": "SELECT n_name || '.txt' AS file, CAST(strlen(n_name) AS BIGINT) AS length, n_name AS content FROM nation",
+    "decoded_rasters": "SELECT r_regionkey || ext AS file, 7 AS width, r_regionkey + 3 AS height FROM region, (SELECT unnest(['.png', '.bmp', '.gif', '.tif']) AS ext) UNION ALL SELECT 'broken.png', -1, -1",
+    "tool_runs": "SELECT CAST(n_nationkey AS BIGINT) AS position, n_name AS content, CASE WHEN n_nationkey % 4 = 0 THEN '.out' ELSE '.txt' END AS current_extension, (['', 'No such', 'started', 'took more'])[n_nationkey % 4 + 1] AS why FROM nation",
     "session_flow": """SELECT r_name || CASE WHEN r_regionkey = 1 THEN '-grayscale.png' WHEN r_regionkey = 2 THEN '-convert_to_jpeg.jpg' ELSE '-resize.png' END AS file,
   CASE WHEN r_regionkey = 1 THEN 12 ELSE 6 END AS width, CASE WHEN r_regionkey = 1 THEN 8 ELSE 4 END AS height, 3 AS uses, CAST(6 AS BIGINT) AS snapshots FROM region WHERE r_regionkey <> 4""",
 }

@@ -10,11 +10,13 @@ from actionflow.functions import params, paths
 from actionflow.operators import execute, export, images, sequences
 from actionflow.operators.session import Session
 from actionflow.plans.catalog_queries import known_actions
+from actionflow.plans.compile import Catalog
 from actionflow.plans.tables import query, shared_folder, table
 from actionflow.sources import catalog as catalogs
 from actionflow.sources import files as sources
 from actionflow.sources import storage
 from actionflow.sources.definitions import write_shipped
+from actionflow.sources.images import dropped_files, read_rasters
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -225,3 +227,41 @@ def session_flow(spark, sf_dir):
     seen = execute.measured(out.select(F.col("file").alias("id"), "content", paths.extension(F.col("file")).alias("current_extension")))
     uses = {r.skill_id: r["count"] for r in s.usage().collect()}
     return seen.select(F.col("id").alias("file"), "width", "height", F.lit(sum(uses.values())).alias("uses"), F.lit(s.snapshots.count()).alias("snapshots"))
+
+
+@query
+def drop_folder(spark, sf_dir):
+    """Files put into a folder, in two goes, as the stream over it gives them."""
+    base = shared_folder(spark, "dropped")
+    for half in (0, 1):
+        for r in table(spark, sf_dir, "nation").where(F.col("n_regionkey") % 2 == half).collect():
+            storage.put(f"{base}/in/{r.n_regionkey}/{r.n_name}.txt", r.n_name.encode())
+        stream = dropped_files(spark, f"{base}/in").writeStream.option("checkpointLocation", f"{base}/progress").trigger(availableNow=True).format("parquet").option("path", f"{base}/out")
+        stream.start().awaitTermination()
+    return spark.read.parquet(f"{base}/out").select(F.regexp_extract("path", "([^/]*)$", 1).alias("file"), "length", F.decode("content", "UTF-8").alias("content"))
+
+
+@query
+def decoded_rasters(spark, sf_dir):
+    """Raster files of every kind through Spark's decoder; one of them isn't what its name says."""
+    base = shared_folder(spark, "rasters")
+    for r in table(spark, sf_dir, "region").collect():
+        pixels = np.full((3 + r.r_regionkey, 7, 3), 50 * r.r_regionkey, np.uint8)
+        for ext in (".png", ".bmp", ".gif", ".tif"):
+            storage.put(f"{base}/{r.r_regionkey}{ext}", images.encode_png(pixels) if ext == ".png" else execute.WRITERS[ext](pixels))
+    storage.put(f"{base}/broken.png", b"xx")
+    read = read_rasters(spark, base)
+    return read.select(F.regexp_extract("origin", "([^/]*)$", 1).alias("file"), "width", "height")
+
+
+@query
+def tool_runs(spark, sf_dir):
+    """An external tool for each file: one that works, one that fails, one that isn't there, one that takes too long."""
+    commands = {"copies": ("cp", ["{{input}}", "{{output}}"]), "fails": ("ls", ["/no/such/place"]), "missing": ("no-such-tool", []), "sleeps": ("sleep", ["{{seconds}}"])}
+    known = Catalog({n: {"id": n, "is_meta": False, "driver": "cli", "output_type": "", "source": "core:embedded", "permissions": ["tools.exec"], "params": [], "executor": {"type": "cli", "command": c, "args": a, "outputExtension": "OUT", "timeoutMs": 300}} for n, (c, a) in commands.items()})
+    key, names = F.col("n_nationkey"), list(commands)
+    action = F.element_at(F.array(*map(F.lit, names)), (key % 4 + 1).cast("int"))
+    link = F.struct(action.alias("skill_id"), F.create_map(F.lit("seconds"), F.lit("20")).alias("params"))
+    files = table(spark, sf_dir, "nation").select(key.cast("string").alias("id"), key.cast("bigint").alias("position"), F.encode("n_name", "UTF-8").alias("content"), F.lit(".txt").alias("current_extension"), F.array(link).alias("chain"))
+    done = execute.apply_chains(files, known)
+    return done.select("position", F.decode("content", "UTF-8").alias("content"), "current_extension", F.coalesce(F.regexp_extract("error", "(took more|started|No such)", 1), F.lit("")).alias("why"))
