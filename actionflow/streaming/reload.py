@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Callable
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 
 from actionflow.sources import catalog
 
 DEBOUNCE = "150 milliseconds"
+TRIES, PAUSE_SECONDS = 20, 0.1  # of a listing
 
 
 def listing(spark: SparkSession, roots: list[tuple[str, str]]) -> list[list]:
@@ -32,6 +35,18 @@ def listing(spark: SparkSession, roots: list[tuple[str, str]]) -> list[list]:
     return sorted(found)
 
 
+def settled(spark: SparkSession, roots: list[tuple[str, str]]) -> list[list]:
+    """The listing, taken again if files go away while it is made."""
+    for k in range(TRIES):
+        try:
+            return listing(spark, roots)
+        except Py4JJavaError:
+            if k + 1 == TRIES:
+                raise
+            time.sleep(PAUSE_SECONDS)
+    raise AssertionError("TRIES is over 0")
+
+
 def _remembered(spark: SparkSession, path: str) -> list | None:
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
@@ -67,10 +82,16 @@ def watch(spark: SparkSession, roots: list[tuple[str, str]], changed: Callable[[
     seen = f"{progress.rstrip('/')}-seen.json"
 
     def look(batch: DataFrame, number: int) -> None:
-        now = listing(spark, roots)
-        if now != _remembered(spark, seen):
+        now = settled(spark, roots)
+        if now == _remembered(spark, seen):
+            return
+        try:
             changed(*catalog.load(spark, roots))
-            _remember(spark, seen, now)  # only now: what failed is tried again
+        except Exception:
+            if settled(spark, roots) == now:
+                raise
+            return  # files changed while they were read: the next look finds that
+        _remember(spark, seen, now)  # only now: what failed is tried again
 
     writer = ticks.writeStream.foreachBatch(look).option("checkpointLocation", progress)
     return writer.trigger(availableNow=True).start() if once else writer.trigger(processingTime=DEBOUNCE).start()

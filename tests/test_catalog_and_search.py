@@ -7,6 +7,7 @@ from actionflow.operators.search import search, usage_of
 from actionflow.plans.compile import Catalog, PlanError, compile_action, extensions, merge_params
 from actionflow.sources import catalog as catalogs
 from actionflow.sources.definitions import SHIPPED, write_shipped
+from actionflow.streaming import reload
 from actionflow.streaming.reload import watch
 from pyspark.sql import functions as F
 
@@ -110,6 +111,43 @@ def test_layers_and_quarantine(spark, tmp_path):
         stream.stop()
 
 
+def test_files_that_go_away_while_they_are_looked_at(spark, tmp_path, monkeypatch):
+    """A listing that fails is made again; a load that fails because files changed is left to the next look; any other error counts."""
+    root = tmp_path / "own"
+    root.mkdir()
+    (root / "a.json").write_text(json.dumps(definition("a")))
+    real, calls = reload.listing, []
+
+    def flaky(*given):
+        calls.append(1)
+        if len(calls) <= 2:
+            spark._jvm.java.nio.file.Files.size(spark._jvm.java.io.File("/no/such/file").toPath())  # as a vanished file fails
+        return real(*given)
+
+    monkeypatch.setattr(reload, "listing", flaky)
+    assert len(reload.settled(spark, [("community", str(root))])) == 1 and len(calls) == 3
+
+    seen = []
+
+    def moves(good, bad):
+        if not seen:
+            (root / "b.json").write_text(json.dumps(definition("b")))
+            seen.append(None)
+            raise RuntimeError("the files moved")
+        seen.append(sorted(r.id for r in good.collect()))
+
+    roots = [("community", str(root))]
+    for _ in range(2):
+        watch(spark, roots, moves, str(tmp_path / "moves"), once=True).awaitTermination()
+    assert seen == [None, ["a", "b"]]
+
+    def fails(good, bad):
+        raise RuntimeError("no fault of the files")
+
+    with pytest.raises(Exception, match="no fault of the files"):
+        watch(spark, roots, fails, str(tmp_path / "fails"), once=True).awaitTermination()
+
+
 def test_compile(catalog):
     plans = Catalog.from_rows(catalog)
     steps = compile_action(plans, "heic_compress", {"quality": 70})
